@@ -10,9 +10,34 @@ from pyspark.sql import functions as F
 from newsloom.llm.encode import encode_corpus
 from newsloom.llm.leaks import leaked_items
 from newsloom.llm.pieces import split_oversized
+from newsloom.llm.repeated import prefix_span, repeated_lines, without_repeated_lines
+from newsloom.llm.residue import residue
 from newsloom.runtime import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue(table(spark, d, "articles")).select(F.col("id").alias("article_id"), "field_name")
+
+
+def p1_clean_articles(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of the articles no value of which is affected."""
+    articles = table(spark, d, "articles")
+    return articles.select(F.col("id").alias("article_id")).distinct().join(p1_found(spark, d), "article_id", "left_anti")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return repeated_lines(table(spark, d, "articles")).select(F.col("id").alias("article_id"), "line_no")
+
+
+def p4_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """The frequent line sequences of each source, by the hashes of their lines."""
+    return prefix_span(table(spark, d, "articles")).patterns.select(F.col("source").alias("source_id"), "length", "keys", "support")
+
+
+def p4_texts(spark: SparkSession, d: str) -> DataFrame:
+    return without_repeated_lines(table(spark, d, "articles")).withColumnRenamed("id", "article_id")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
@@ -32,7 +57,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p8_ids, p9_found, p9_leaks_by_item, p10_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_clean_articles, p4_found, p4_sequences, p4_texts, p8_ids, p9_found, p9_leaks_by_item, p10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
