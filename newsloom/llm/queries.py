@@ -12,6 +12,7 @@ from newsloom.llm.leaks import leaked_items
 from newsloom.llm.pieces import split_oversized
 from newsloom.llm.repeated import prefix_span, repeated_lines, without_repeated_lines
 from newsloom.llm.residue import residue
+from newsloom.llm.truncated import truncation
 from newsloom.runtime import table
 
 
@@ -38,6 +39,24 @@ def p4_texts(spark: SparkSession, d: str) -> DataFrame:
     return without_repeated_lines(table(spark, d, "articles")).withColumnRenamed("id", "article_id")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation(table(spark, d, "articles")).found.select(F.col("id").alias("article_id"), "field_name")
+
+
+def p6_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Of each source and field: values, cut values and their share."""
+    articles = table(spark, d, "articles")
+    t = truncation(articles)
+    sources = articles.select("id", F.col("source_id").alias("source")).distinct()
+    cut = t.found.join(sources, "id").groupBy("source", "field_name").agg(F.count("*").alias("cut"))
+    both = t.values.join(cut, ["source", "field_name"], "left").withColumn("cut", F.coalesce("cut", F.lit(0)))
+    return both.select(F.col("source").alias("source_id"), "field_name", "values", "cut", F.bround(F.col("cut") / F.col("values"), 4).alias("rate"))
+
+
+def p6_limits(spark: SparkSession, d: str) -> DataFrame:
+    return truncation(table(spark, d, "articles")).limits.withColumnRenamed("source", "source_id")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
@@ -57,7 +76,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_clean_articles, p4_found, p4_sequences, p4_texts, p8_ids, p9_found, p9_leaks_by_item, p10_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_clean_articles, p4_found, p4_sequences, p4_texts, p6_found, p6_rates, p6_limits, p8_ids, p9_found, p9_leaks_by_item, p10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
