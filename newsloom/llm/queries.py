@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.encode import encode_corpus
 from newsloom.llm.leaks import leaked_items
+from newsloom.llm.neardup import grouped, linked_pairs, near_duplicates
 from newsloom.llm.pieces import split_oversized
 from newsloom.llm.repeated import prefix_span, repeated_lines, without_repeated_lines
 from newsloom.llm.residue import residue
@@ -57,6 +58,15 @@ def p6_limits(spark: SparkSession, d: str) -> DataFrame:
     return truncation(table(spark, d, "articles")).limits.withColumnRenamed("source", "source_id")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return linked_pairs(near_duplicates(table(spark, d, "articles"))).select(F.col("a").alias("article_a"), F.col("b").alias("article_b"))
+
+
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each article long enough: the class of its text and its number of links."""
+    return grouped(near_duplicates(table(spark, d, "articles"))).withColumnRenamed("id", "article_id")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
@@ -76,7 +86,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_clean_articles, p4_found, p4_sequences, p4_texts, p6_found, p6_rates, p6_limits, p8_ids, p9_found, p9_leaks_by_item, p10_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_clean_articles, p4_found, p4_sequences, p4_texts, p6_found, p6_rates, p6_limits, p7_found, p7_groups, p8_ids, p9_found, p9_leaks_by_item, p10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
