@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.encode import encode_corpus
 from newsloom.llm.leaks import leaked_items
+from newsloom.llm.names import variant_groups, variant_pairs
 from newsloom.llm.neardup import grouped, linked_pairs, near_duplicates
+from newsloom.llm.overlap import cross_split_overlap, overlap_report, overlapping_pairs
 from newsloom.llm.pieces import split_oversized
 from newsloom.llm.repeated import prefix_span, repeated_lines, without_repeated_lines
 from newsloom.llm.residue import residue
@@ -27,6 +29,17 @@ def p1_clean_articles(spark: SparkSession, d: str) -> DataFrame:
     return articles.select(F.col("id").alias("article_id")).distinct().join(p1_found(spark, d), "article_id", "left_anti")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    found = cross_split_overlap(table(spark, d, "dataset_documents"))
+    return overlapping_pairs(found).select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    """Of each evaluation split and source: records, overlapping records and pairs."""
+    docs = table(spark, d, "dataset_documents")
+    return overlap_report(docs, cross_split_overlap(docs)).withColumnRenamed("source", "source_id")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines(table(spark, d, "articles")).select(F.col("id").alias("article_id"), "line_no")
 
@@ -40,6 +53,17 @@ def p4_texts(spark: SparkSession, d: str) -> DataFrame:
     return without_repeated_lines(table(spark, d, "articles")).withColumnRenamed("id", "article_id")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return variant_pairs(variant_groups(table(spark, d, "articles")))
+
+
+def p5_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Each author string that names one person or organisation, its entity and the entity's number of strings."""
+    groups = variant_groups(table(spark, d, "articles"))
+    sizes = groups.groupBy("entity").agg(F.count("*").alias("strings"))
+    return groups.join(sizes, "entity").select("author", "entity", "strings")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation(table(spark, d, "articles")).found.select(F.col("id").alias("article_id"), "field_name")
 
@@ -86,7 +110,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_clean_articles, p4_found, p4_sequences, p4_texts, p6_found, p6_rates, p6_limits, p7_found, p7_groups, p8_ids, p9_found, p9_leaks_by_item, p10_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_clean_articles, p3_found, p3_report, p4_found, p4_sequences, p4_texts, p5_found, p5_entities, p6_found, p6_rates, p6_limits, p7_found, p7_groups, p8_ids, p9_found, p9_leaks_by_item, p10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
