@@ -2,10 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+from newsloom.operators import nested
+from newsloom.runtime import table
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return nested.nodes(nested.flatten(table(spark, d, "dataset_documents")))
+
+
+def p2_players(spark: SparkSession, d: str) -> DataFrame:
+    return nested.flatten(table(spark, d, "dataset_documents"))["box_score"]
+
+
+def p2_provisions(spark: SparkSession, d: str) -> DataFrame:
+    return nested.flatten(table(spark, d, "dataset_documents"))["sections/provisions"]
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in (p2_found, p2_players, p2_provisions)}
 
 
-def oracle_sql() -> dict:
+def oracle_sql() -> dict[str, str]:
     return {}
