@@ -6,25 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.operators import nested
-from newsloom.runtime import table
+from newsloom.plans import articles, nested, topics
 
-
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.nodes(nested.flatten(table(spark, d, "dataset_documents")))
-
-
-def p2_players(spark: SparkSession, d: str) -> DataFrame:
-    return nested.flatten(table(spark, d, "dataset_documents"))["box_score"]
-
-
-def p2_provisions(spark: SparkSession, d: str) -> DataFrame:
-    return nested.flatten(table(spark, d, "dataset_documents"))["sections/provisions"]
+_MODULES = (nested, topics, articles)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_players, p2_provisions)}
+    return {name: f for m in _MODULES for name, f in m.registry.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _MODULES for name, sql in m.registry.sql.items()}
