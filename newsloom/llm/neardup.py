@@ -6,14 +6,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.shingling import WordHash, hashed, mix, shingles, words
+from newsloom.functions.shingling import mix
+from newsloom.operators.similar import class_of, frequent_shingles, lists, longs, shingle_set
 from newsloom.runtime import materialize
 
-_memo = WordHash()
 _SIGNED = np.int64
 _SKETCH_BITS = 128
 _rng = np.random.default_rng(20240501)
@@ -21,19 +20,6 @@ _MULTIPLIERS = (_rng.integers(0, 1 << 32, _SKETCH_BITS, dtype=np.uint32) | np.ui
 _ADDENDS = _rng.integers(0, 1 << 32, _SKETCH_BITS, dtype=np.uint32)[:, None]
 
 
-def shingle_set(text: str | None, k: int, min_words: int) -> np.ndarray | None:
-    """The sorted distinct shingles of a text; None if it has fewer than ``min_words`` words."""
-    ws = words(text or "")
-    if len(ws) < max(min_words, k):
-        return None
-    return np.unique(shingles(hashed(ws, _memo), k))
-
-
-def class_of(s: np.ndarray) -> int:
-    """64-bit identity of a shingle set: texts with the same set are one class."""
-    return xxhash.xxh3_64_intdigest(s.tobytes())
-
-
 def sketch(s: np.ndarray) -> np.ndarray:
     """128 one-bit minwise values in two words; sets of similarity J agree on about (1 + J) / 2 of them."""
     low = (s ^ (s >> np.uint64(32))).astype(np.uint32)
@@ -74,17 +60,6 @@ class Paths:
         return np.unique(np.concatenate(out))
 
 
-def _longs(values: list) -> pa.Array:
-    return pa.array(np.array(values, np.uint64).view(_SIGNED))
-
-
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    offsets = np.zeros(len(arrays) + 1, np.int32)
-    np.cumsum([len(a) for a in arrays], out=offsets[1:])
-    flat = np.concatenate(arrays).view(_SIGNED) if arrays else np.empty(0, _SIGNED)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-
-
 class NearDuplicates:
     """members: (id, class), one row per text long enough; links: (a, b, similarity) between classes, a < b."""
 
@@ -92,37 +67,6 @@ class NearDuplicates:
         self.members, self.links = members, links
 
 
-def frequent_shingles(texts: DataFrame, rows: int, k: int, min_words: int, bucket: int) -> np.ndarray:
-    """A superset of the shingles in more than ``bucket`` rows, by counts over all texts.
-
-    Each task counts per run of texts and keeps what has at least its share of the bound there; a shingle above the bound
-    overall is above it in some run. There are at most (shingles per text) * rows / bucket of them, checked below.
-    """
-    share = bucket / max(rows, 1)
-
-    def count(batches):
-        held, n = [], 0
-
-        def flush():
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            return pa.record_batch([pa.array(values[counts >= max(2.0, share * n)].view(_SIGNED))], ["shingle"])
-
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                s = shingle_set(t, k, min_words)
-                if s is not None:
-                    held.append(s)
-                    n += 1
-            if n >= 5000:
-                yield flush()
-                held, n = [], 0
-        if held:
-            yield flush()
-
-    found = texts.select("text").mapInArrow(count, "shingle bigint").distinct()
-    return np.sort(np.array([r[0] for r in found.collect()], np.int64).view(np.uint64))
-
-
 def _pairs_in_bucket(classes, sizes, sketches, threshold: float, differ: int, block: int = 512):
     """Brute force over one bucket in blocks: pairs whose sketches and sizes allow the similarity."""
     n = len(classes)
@@ -190,7 +134,7 @@ def near_duplicates(
                     ways.append(paths.of(s))
             both = np.array(sketches, np.uint64).reshape(-1, 2).view(_SIGNED)
             yield pa.record_batch(
-                [b.column(0).take(pa.array(keep, pa.int64())), _longs(classes), pa.array(sizes, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), _lists(ways)],
+                [b.column(0).take(pa.array(keep, pa.int64())), longs(classes), pa.array(sizes, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), lists(ways)],
                 ["id", "class", "size", "s0", "s1", "paths"],
             )
 
@@ -239,7 +183,7 @@ def near_duplicates(
 
     def sets(batches):
         for b in batches:
-            yield pa.record_batch([b.column(0), _lists([shingle_set(t, k, min_words) for t in b.column(1).to_pylist()])], ["class", "set"])
+            yield pa.record_batch([b.column(0), lists([shingle_set(t, k, min_words) for t in b.column(1).to_pylist()])], ["class", "set"])
 
     one_text = texts.join(chosen, "id").groupBy("class").agg(F.min("text").alias("text"))
     known = materialize(one_text.mapInArrow(sets, "class bigint, set array<bigint>"), "sets")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.shingling import WordHash, hashed, shingles, words
-from newsloom.llm.neardup import _lists, _longs, class_of
+from newsloom.operators.similar import class_of, lists, longs
 from newsloom.runtime import latest_rows, materialize
 
 _memo = WordHash()
@@ -66,7 +66,7 @@ def cross_split_overlap(
                     sizes.append(len(distinct))
                     runs.append(s)
             at = pa.array(keep, pa.int64())
-            yield pa.record_batch([b.column(0).take(at), b.column(1).take(at), _longs(classes), pa.array(sizes, pa.int32()), _lists(runs)], ["id", "side", "class", "n", "runs"])
+            yield pa.record_batch([b.column(0).take(at), b.column(1).take(at), longs(classes), pa.array(sizes, pa.int32()), lists(runs)], ["id", "side", "class", "n", "runs"])
 
     entered = materialize(
         sides(df, id_col, split_col, text_col, order_col).mapInArrow(enter, f"id {id_type}, side int, class bigint, n int, runs array<bigint>"), "suffixes"
