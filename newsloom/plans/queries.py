@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.plans import articles, nested, topics
+from newsloom.plans import articles, nested, scores, topics
 
-_MODULES = (nested, topics, articles)
+_MODULES = (nested, topics, articles, scores)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
