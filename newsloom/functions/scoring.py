@@ -73,7 +73,8 @@ def rating(average: Column) -> Column:
 
 def clamped(value: Column, low: int = 1, high: int = 5, otherwise: int = 3) -> Column:
     """An integer text within bounds, ``otherwise`` if it is none."""
-    return F.coalesce(F.least(F.lit(high), F.greatest(F.lit(low), value.try_cast("int"))), F.lit(otherwise))
+    number = value.try_cast("int")
+    return F.when(number.isNull(), otherwise).otherwise(F.least(F.lit(high), F.greatest(F.lit(low), number)))
 
 
 def pct(x: Column) -> Column:

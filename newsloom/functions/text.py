@@ -138,7 +138,8 @@ def date_reference(today: Column, before: int = 7, days: int = 21) -> Column:
 
 
 def percent(x: Column, digits: int = 0) -> Column:
-    return F.format_string(f"%.{digits}f%%", x * 100)
+    """A share as per cent, halves to even."""
+    return F.format_string(f"%.{digits}f%%", F.bround(x * 100, digits))
 
 
 def hours_minutes(ts: Column) -> Column:
