@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.plans import articles, facts, nested, scores, streams, topics
+from newsloom.plans import articles, facts, nested, pools, scores, streams, topics
 
-_MODULES = (nested, topics, articles, scores, facts, streams)
+_MODULES = (nested, topics, articles, scores, facts, streams, pools)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
