@@ -113,5 +113,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_clean_articles, p3_found, p3_report, p4_found, p4_sequences, p4_texts, p5_found, p5_entities, p6_found, p6_rates, p6_limits, p7_found, p7_groups, p8_ids, p9_found, p9_leaks_by_item, p10_pieces)}
 
 
+_WORDS = "regexp_extract_all(lower({}), '[a-z0-9'']+')"
+_RUNS = "list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))"
+_SQL = {
+    "p3_found": f"""WITH doc AS (SELECT id, arg_max(split, created_at) AS split, arg_max(primary_text, created_at) AS t FROM dataset_documents GROUP BY id),
+w AS (SELECT id, starts_with(lower(trim(split)), 'train') AS train, {_WORDS.format('t')} AS w FROM doc WHERE split IS NOT NULL),
+s AS (SELECT id, train, {_RUNS} AS s FROM w WHERE len(w) >= 20), x AS (SELECT id, train, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.g = b.g AND a.train AND NOT b.train GROUP BY a.id, b.id)
+SELECT least(a, b) AS doc_a, greatest(a, b) AS doc_b FROM p WHERE c >= 0.8 * (na + nb - c)""",
+    "p4_found": """WITH art AS (SELECT DISTINCT id, source_id, content FROM articles), s AS (SELECT id, source_id, string_split(content, chr(10)) AS s FROM art),
+l AS (SELECT id, source_id, generate_subscripts(s, 1) - 1 AS n, regexp_replace(lower(unnest(s)), '[\\s\\p{Z}\\p{Nd}\\x{0085}]+', '', 'g') AS k FROM s),
+f AS (SELECT source_id, k FROM l WHERE k <> '' GROUP BY 1, 2 HAVING count(DISTINCT id) >= 10)
+SELECT DISTINCT id AS article_id, CAST(n AS INT) AS line_no FROM l JOIN f USING (source_id, k)""",
+    "p7_found": f"""WITH art AS (SELECT id, any_value(content) AS t FROM articles GROUP BY id), w AS (SELECT id, {_WORDS.format('t')} AS w FROM art), s AS (SELECT id, {_RUNS} AS s FROM w WHERE len(w) >= 50),
+x AS (SELECT id, len(s) AS n, unnest(s) AS g FROM s), p AS (SELECT a.id AS a, b.id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id)
+SELECT a AS article_a, b AS article_b FROM p WHERE c >= 0.7 * (na + nb - c)""",
+    "p9_found": """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), i AS (SELECT item_id, regexp_extract_all(lower(item_text), '[a-z0-9]+') AS w FROM eval_items),
+dg AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(w) - 10), lambda j: array_to_string(w[j:j + 11], ' ')))) AS g FROM d WHERE len(w) >= 12),
+ig AS (SELECT item_id, unnest(list_distinct(list_transform(range(1, len(w) - 10), lambda j: array_to_string(w[j:j + 11], ' ')))) AS g FROM i WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Exhaustive statements of the problems that SQL can define; the others are tested by programs."""
+    return dict(_SQL)
