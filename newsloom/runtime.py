@@ -11,6 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: str | None = None
+_written: list[tuple[SparkSession, str]] = []
+
+
+def _remove_written() -> None:
+    """Deletes the intermediate tables of this process; results derived from them are gone with the session anyway."""
+    for spark, path in _written:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001 - the session may have ended before
+            return
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +51,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/newsloom/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_remove_written)
+    _written.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
