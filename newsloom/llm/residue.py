@@ -102,7 +102,8 @@ def residue(
     """(id_col, field_name, evidence), one row per affected value.
 
     Normalised lines are counted by host over all values; lines that at least ``min_support`` articles of the host share
-    are recurrent and leave the value (a value made of recurrent lines alone keeps them). A value is affected if a line
+    are recurrent and leave the value, but for those that show a template mark or filler (a broken template recurs by
+    nature); a value made of recurrent lines alone keeps them. A value is affected if a line
     of what remains shows a template mark never filled in, filler, an error, block or waiting page, or a demand for
     scripts or cookies; several kinds give the first in this order: template, filler, error, script. Messages in short
     quotation marks are reported speech and don't count, template marks do.
@@ -136,7 +137,7 @@ def residue(
     return (
         parts.groupBy("id", "field_name")
         .agg(
-            F.bool_or((F.col("key") == F.col("evident")) & ~F.col("recurrent")).alias("remains"),
+            F.bool_or((F.col("key") == F.col("evident")) & (~F.col("recurrent") | F.col("evidence").isin("template", "filler"))).alias("remains"),
             F.bool_and("recurrent").alias("all_recurrent"),
             F.min_by("evidence", rank).alias("evidence"),
         )
