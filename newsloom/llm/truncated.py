@@ -115,7 +115,7 @@ class Truncation:
         self.found, self.limits, self.values = found, limits, values
 
 
-def truncation(df: DataFrame, id_col: str = "id", source_col: str = "source_id", fields: tuple[str, ...] = ("content", "summary"), min_recurrent: int = 10, min_openings: int = 3) -> Truncation:
+def truncation(df: DataFrame, id_col: str = "id", source_col: str = "source_id", fields: tuple[str, ...] = ("content", "summary"), min_recurrent: int = 10, min_openings: int = 3, closed_share: float = 3.0) -> Truncation:
     """Values that stop inside a word or sentence.
 
     The length of every value that doesn't end a sentence is taken as stored and as counted in bytes, UTF-16, with line
@@ -124,8 +124,9 @@ def truncation(df: DataFrame, id_col: str = "id", source_col: str = "source_id",
     (a) a mark of a cut stands at its end (ellipsis, opened bracket or tag, broken entity, character or escape), or
     (b) its size is one of these limits of its source, or up to two below it (a trimmed cut), or
     (c) its last line goes on after a complete sentence, or
-    (d) its last line opens like at least ``min_openings`` complete, longer sentences of the corpus do: headlines,
-        credits and notices, which are complete without a full stop, don't.
+    (d) its last line opens like at least ``min_openings`` complete, longer sentences of the corpus do, and at least
+        ``closed_share`` times as many as there are openly ending lines with this opening: headlines, credits and
+        notices, which are complete without a full stop, end openly as a rule.
     A last line that at least ``min_recurrent`` articles of its source share is no cut, nor are messages and filler
     (problem 1) unless by (b).
     Null and blank values are complete; null ids and sources are left out; rows delivered again count once.
@@ -152,10 +153,11 @@ def truncation(df: DataFrame, id_col: str = "id", source_col: str = "source_id",
     openings = values.select("value").mapInArrow(_count_openings, "opening string, n bigint").groupBy("opening").agg(F.sum("n").alias("n")).where(F.col("n") >= min_openings)
     news = F.col("evidence").isNull()
     usual = F.coalesce("usual", F.lit(False)) & F.col("unit").rlike(r"^['\"\u201c\u2018(]?[\p{Lu}\d]")
+    opened = open_values.withColumn("opening", _opening("unit")).join(recurrent, ["source", "key"], "left_anti")
+    as_open = opened.where("not marked and not follows").groupBy("opening").agg(F.count("*").alias("n_open"))
+    closing = openings.join(as_open, "opening", "left").where(F.col("n") >= closed_share * F.coalesce("n_open", F.lit(0)))
     inspected = materialize(
-        open_values.withColumn("opening", _opening("unit"))
-        .join(recurrent, ["source", "key"], "left_anti")
-        .join(openings.select("opening", F.lit(True).alias("usual")), "opening", "left")
+        opened.join(closing.select("opening", F.lit(True).alias("usual")), "opening", "left")
         .withColumn("ends_open", (news & (F.col("marked") | F.col("follows"))) | ((news | (F.col("evidence") == "template")) & (F.col("marked") | usual)))
         .select("source", "id", "field_name", "sizes", "ends_open"),
         "open-endings",
