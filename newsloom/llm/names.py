@@ -137,16 +137,21 @@ def segments(size: int, pieces: int = 3) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:]))
 
 
-def shards_of(key: str, index: bool, bound: int = 1) -> list[str]:
-    """Shards in which a key is stored (index) or looked up: a whole piece of a string of a given length, moved by up to ``bound``."""
+def shards_of(key: str, index: bool) -> set[str]:
+    """Shards in which a key is stored (index), or in which a neighbour within one edit may be stored.
+
+    A neighbour of another length is shifted behind the edit: a whole piece lies where it does in the neighbour if the
+    edit is behind it, moved by the difference if it is before; the first piece has nothing before, the last nothing behind.
+    """
     out = set()
-    for size in (len(key),) if index else range(len(key) - bound, len(key) + bound + 1):
-        for n, (i, j) in enumerate(segments(size)):
-            for shift in (0,) if index else range(-bound, bound + 1):
-                a, b = i + shift, j + shift
-                if 0 <= a < b <= len(key):
-                    out.add(f"{n}:{size}:{key[a:b]}")
-    return list(out)
+    for size in (len(key),) if index else range(len(key) - 1, len(key) + 2):
+        cuts = segments(size)
+        for n, (i, j) in enumerate(cuts):
+            moved = len(key) - size
+            for shift in {0 if n < len(cuts) - 1 else moved, moved if n > 0 else 0}:
+                if 0 <= i + shift < j + shift <= len(key):
+                    out.add(f"{n}:{size}:{key[i + shift : j + shift]}")
+    return out
 
 
 class Trie:
