@@ -161,6 +161,8 @@ class Splitter:
         j = bisect_left(self.starts, end)
         i = bisect_left(self.before, self.before[j] - self.overlap, 0, j + 1)
         start = max(self.starts[i], low)
+        while start < end and len(self.encoder.encode(text[start:end])) > self.overlap:
+            start = self.starts[bisect_right(self.starts, start)]
         if start >= end:
             return end
         for m in _SENTENCE.finditer(text, start, end):

@@ -85,7 +85,7 @@ def test_pieces(text, limit, overlap):
         assert start <= own < end and n == len(encoder().encode(text[start:end])) <= limit
     for before, after in zip(out, out[1:]):
         assert before[0] <= after[0] <= after[1] == before[2]
-        assert len(encoder().encode(text[after[0] : after[1]])) <= overlap + 2
+        assert len(encoder().encode(text[after[0] : after[1]])) <= overlap
 
 
 def test_cuts_at_paragraphs():

@@ -80,6 +80,8 @@ def test_residue_subtracts_recurrent_lines(spark):
     data = [(i, "http://h.example/", f"Real news number {'abcdefghijkl'[i]} today.\n{notice}", "") for i in range(12)] + [(50, "http://h.example/", notice, "")]
     df = spark.createDataFrame(data, "id long, url string, content string, summary string")
     assert [r["id"] for r in residue.residue(df).collect()] == [50]
+    marked = df.withColumn("content", F.concat("content", F.lit("\nThe {{mark}} of it.")))
+    assert residue.residue(marked).where("evidence = 'template'").count() == 13
 
 
 # ---- 3 ----------------------------------------------------------------------------------------------------------------
@@ -202,6 +204,14 @@ def test_hidden_limit(spark):
     assert ("characters", 120) in limits and ("bytes", 120) in limits
 
 
+def test_headlines_are_complete_though_some_sentences_open_alike(spark):
+    places = [a + b for a in "Ash Elm Oak Fir Yew".split() for b in "ham ton by dale wick".split()]
+    data = [(i, 1, "Anna Lee closed joint farm in Kent after the storm.", f"Anna Lee closed joint farm in {p}") for i, p in enumerate(places[:20])]
+    data += [(100, 1, "The council opened the park on Monday. " * 5, "The council opened the")]
+    df = spark.createDataFrame(data, "id long, source_id long, content string, summary string")
+    assert [r["id"] for r in truncated.truncation(df).found.collect()] == [100]
+
+
 # ---- 7 ----------------------------------------------------------------------------------------------------------------
 
 
