@@ -103,3 +103,11 @@ def best_setting(report: DataFrame, setting: str, score: str = "f1") -> DataFram
     """One row: the setting of highest mean score over classes; the least setting of equals, as the earliest of an ascending grid."""
     means = report.groupBy(setting).agg(F.bround(F.avg(score), 6).alias("macro"))
     return means.agg(F.max(F.struct("macro", (-F.col(setting)).alias("s"))).alias("b")).select((-F.col("b.s")).alias(setting), F.col("b.macro").alias("macro"))
+
+
+def match_counts(matches: DataFrame, by: str) -> DataFrame:
+    """(by, tp, fp, fn, mean_similarity) per document from the rows of an optimal matching; documents without truth rows are left out."""
+    g = matches.groupBy(by).agg(
+        F.count_if(F.col("kind") == "tp").alias("tp"), F.count_if(F.col("kind") == "fp").alias("fp"), F.count_if(F.col("kind") == "fn").alias("fn"), F.coalesce(F.avg("similarity"), F.lit(0.0)).alias("mean_similarity")
+    )
+    return g.where("tp + fn > 0")

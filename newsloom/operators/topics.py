@@ -148,3 +148,31 @@ def timeline(df: DataFrame) -> DataFrame:
         F.bround(since / 1e6 / F.greatest((F.col("stop") - F.col("start")) / 1e6, F.lit(1.0)) * 100, 1).alias("offset_pct"),
         F.floor(since / 6e7).cast("long").alias("delta_minutes"),
     )
+
+
+def ordered_by(df: DataFrame, wanted: str, allowed: list[str], default: list[Column]) -> DataFrame:
+    """Rows in the order a caller names ('-' for descending, commas between); names that aren't allowed are ignored.
+
+    Descending keys put nulls first, ascending ones last; without an allowed name the default order holds.
+    """
+    order = []
+    for name in wanted.split(","):
+        key = name.strip().lstrip("-")
+        if key in allowed:
+            order.append(F.desc_nulls_first(key) if name.strip().startswith("-") else F.asc_nulls_last(key))
+    return df.orderBy(*(order or default))
+
+
+def numeric_first(text: Column) -> list[Column]:
+    """Order of a table column of texts: numbers by value, then the rest by text."""
+    number = F.regexp_replace(text, "[%, ]", "").try_cast("double")
+    return [F.asc_nulls_last(number), F.lower(text).asc()]
+
+
+def with_nested(parents: DataFrame, key: str, children: DataFrame, child_key: str, name: str, order: list[str]) -> DataFrame:
+    """Parents with an array of their children as structs, in order; empty where there are none."""
+    fields = [c for c in children.columns if c != child_key]
+    first = [*order, *[c for c in fields if c not in order]]
+    lists = children.groupBy(F.col(child_key).alias(key)).agg(F.array_sort(F.collect_list(F.struct(*first))).alias(name))
+    empty = F.array().cast(lists.schema[name].dataType)
+    return parents.join(lists, key, "left").withColumn(name, F.coalesce(name, empty))

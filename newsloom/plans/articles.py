@@ -214,3 +214,22 @@ def ingest_ranks(spark: SparkSession, d: str) -> DataFrame:
     first = rows.groupBy("url").agg(F.min(F.struct("id", "source_id", "published_at")).alias("r")).select("r.*")
     rank = F.row_number().over(Window.partitionBy("source_id").orderBy(F.asc_nulls_last("published_at"), "id")) - 1
     return first.select(F.col("id").alias("article_id"), rank.cast("long").alias("cluster_rank"))
+
+
+@query()
+def wire_components_banded(spark: SparkSession, d: str) -> DataFrame:
+    """Components by MinHash bands: approximate, so without SQL; a test holds its recall against the exact pairs."""
+    from newsloom.operators import components, minhash
+
+    inside = articles(spark, d, "content").where("content != ''").join(clusters(spark, d).select("topic_id", F.col("article_id").alias("id")), "id")
+    signed = minhash.signatures(inside, "id", "content").join(inside.select("id", "topic_id"), "id")
+    return components.connected_components(minhash.banded_edges(signed, ["topic_id"], "id", 0.7)).withColumnRenamed("node", "article_id")
+
+
+@query(f"""WITH {ART}, {CLU} SELECT t.id AS topic_id, count(a.id) AS articles, coalesce(string_agg(a.id, ',' ORDER BY confidence_score DESC, a.id), '') AS ids FROM topics t LEFT JOIN clu c ON c.topic_id = t.id LEFT JOIN art a ON a.id = c.article_id GROUP BY 1""")
+def topic_details(spark: SparkSession, d: str) -> DataFrame:
+    """Topics with their articles nested, most confident first."""
+    rows = clusters(spark, d).join(articles(spark, d, "title").select(F.col("id").alias("article_id"), "title"), "article_id")
+    children = rows.select("topic_id", (-F.col("confidence_score")).alias("order"), "article_id", "title")
+    nested = topics.with_nested(table(spark, d, "topics").select("id", "title"), "id", children, "topic_id", "articles", ["order", "article_id"])
+    return nested.select(F.col("id").alias("topic_id"), F.size("articles").cast("long").alias("articles"), F.array_join(F.transform("articles", lambda x: x["article_id"].cast("string")), ",").alias("ids"))

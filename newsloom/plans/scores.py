@@ -264,3 +264,9 @@ def optimal_match(spark: SparkSession, d: str) -> DataFrame:
     """Vectors with even ids as extracted, odd ones as true; without SQL, tests compare with exhaustive search."""
     e = table(spark, d, "embeddings")
     return cluster.optimal_match(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"), "label", "vec_id", "embedding", 0.2)
+
+
+@query()
+def semantic_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """Precision, recall and F1 of an optimal matching over all pools, micro-averaged."""
+    return scores.micro_f1(scores.match_counts(optimal_match(spark, d), "label"))

@@ -264,3 +264,40 @@ def test_sinks(spark):
     assert rows(sinks.cascade(children, "parent", gone, "id")) == [(2, 2), (3, None)]
     assert rows(sinks.set_null(children, "parent", gone, "id")) == [(1, None), (2, 2), (3, None)]
     assert rows(sinks.replace_children(children.where("parent is not null"), spark.createDataFrame([(9, 1)], "c long, parent long"), "parent").select("c", "parent")) == [(2, 2), (9, 1)]
+
+
+# ---- minhash, ordering, nesting --------------------------------------------------------------------------------------
+
+
+def test_minhash(spark):
+    from newsloom.operators import minhash
+
+    assert minhash.banding(0.7) == (14, 9) and minhash.banding(0.8) == (9, 13)
+    texts = some_texts(9, 80, 100)
+    df = spark.createDataFrame([(1, i, t) for i, t in texts.items()] + [(1, 900, None), (1, 901, "few words")], "g long, id long, text string")
+    signed = minhash.signatures(df, "id", "text")
+    assert signed.count() == 80
+    s, sig = sets_of(texts), {r["id"]: r["signature"] for r in signed.collect()}
+    errors = [abs(sum(x == y for x, y in zip(sig[i], sig[j])) / 128 - len(s[i] & s[j]) / len(s[i] | s[j])) for i, j in itertools.combinations(range(40), 2)]
+    assert max(errors) < 0.25 and sum(errors) / len(errors) < 0.05
+    edges = {tuple(r) for r in minhash.banded_edges(signed.withColumn("g", F.lit(1)), ["g"], "id").collect()}
+    root = brute_components(edges)
+    close = [(i, j) for i, j in itertools.combinations(s, 2) if len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j])]
+    assert sum(root.get(i) is not None and root.get(i) == root.get(j) for i, j in close) >= 0.9 * len(close) > 0
+    a = F.array(F.lit(1), F.lit(2))
+    assert spark.range(1).select(minhash.estimated_jaccard(a, F.array(F.lit(1), F.lit(3)))).first()[0] == 0.5
+
+
+def test_orders(spark):
+    df = spark.createDataFrame([(1, None, "b"), (2, 5, "10%"), (3, 7, "9"), (4, 7, "A")], "id long, x long, t string")
+    ids = lambda d: [r["id"] for r in d.collect()]
+    assert ids(topics.ordered_by(df, "-x,id", ["x", "id"], [F.asc("id")])) == [1, 3, 4, 2]
+    assert ids(topics.ordered_by(df, "secret", ["x"], [F.desc("id")])) == [4, 3, 2, 1]
+    assert ids(df.orderBy(*topics.numeric_first(F.col("t")))) == [3, 2, 4, 1]
+
+
+def test_nesting(spark):
+    p = spark.createDataFrame([(1,), (2,)], "id long")
+    c = spark.createDataFrame([(1, 9, "y"), (1, 3, "x")], "parent long, n long, v string")
+    got = {r["id"]: [tuple(x) for x in r["kids"]] for r in topics.with_nested(p, "id", c, "parent", "kids", ["n"]).collect()}
+    assert got == {1: [(3, "x"), (9, "y")], 2: []}
