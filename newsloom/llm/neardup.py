@@ -103,8 +103,8 @@ def near_duplicates(
     paths that end early below frequent tokens). Buckets are compared by 128-bit sketches, far below the threshold in
     what they reject, and every pair that is left is verified on the full sets.
 
-    One shuffle moves (path, class, size, sketch), reduced to distinct rows on the map side; a bucket is read as a sorted
-    stream in one task, its classes being distinct sets. Verification shuffles the sets of candidates only.
+    Each class enters once, from the first aggregation on; one shuffle moves (path, class, size, sketch); a bucket is read
+    as a sorted stream in one task, its classes being distinct sets. Verification shuffles the sets of candidates only.
     Null texts and texts with fewer words aren't members; a null id is left out; rows delivered again count once (texts of
     one id are taken to agree); an empty table gives no rows; other columns are ignored.
     """
@@ -174,7 +174,8 @@ def near_duplicates(
         if held:
             yield within(held)
 
-    ways = entered.select(F.explode("paths").alias("path"), "class", "size", "s0", "s1").distinct()
+    once = entered.groupBy("class").agg(*[F.first(c).alias(c) for c in ("size", "s0", "s1", "paths")])
+    ways = once.select(F.explode("paths").alias("path"), "class", "size", "s0", "s1")
     candidates = materialize(ways.repartition("path").sortWithinPartitions("path").mapInArrow(compare, "a bigint, b bigint").distinct(), "candidates")
 
     # verification on the full sets of the candidates' classes
