@@ -95,16 +95,19 @@ def measures(value: Column) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("measure"), v.alias("size")) for k, v in counted.items()])
 
 
-def hidden_limits(cut_values: DataFrame, min_values: int = 5, factor: float = 8.0) -> DataFrame:
+def hidden_limits(cut_values: DataFrame, min_values: int = 5, factor: float = 8.0, share: float = 0.25) -> DataFrame:
     """(source, field_name, measure, size) at which the cut values of a source pile up.
 
-    A size counts as a limit if at least ``min_values`` values have it and at least ``factor`` times as many as the mean
-    of the ten sizes on either side, its direct neighbours left out (a cut that is trimmed falls just short).
+    A size counts as a limit if at least ``min_values`` values have it, at least ``share`` of the source's cut values, and
+    at least ``factor`` times as many as the mean of the ten sizes on either side, its direct neighbours left out (a cut
+    that is trimmed falls just short).
     """
     sizes = cut_values.select("source", "field_name", F.inline("sizes")).groupBy("source", "field_name", "measure", "size").agg(F.count("*").alias("n"))
     near = sizes.select("source", "field_name", "measure", F.col("n").alias("near_n"), F.explode(F.transform(F.array(*[F.lit(i) for i in range(-10, 11) if abs(i) > 1]), lambda i: F.col("size") + i)).alias("size"))
     around = near.groupBy("source", "field_name", "measure", "size").agg((F.sum("near_n") / 18).alias("around"))
-    spikes = sizes.where(F.col("n") >= min_values).join(around, ["source", "field_name", "measure", "size"], "left")
+    cuts = cut_values.groupBy("source", "field_name").agg(F.count("*").alias("cuts"))
+    high = sizes.where(F.col("n") >= min_values).join(cuts, ["source", "field_name"]).where(F.col("n") >= share * F.col("cuts"))
+    spikes = high.join(around, ["source", "field_name", "measure", "size"], "left")
     return spikes.where(F.col("n") >= factor * F.coalesce("around", F.lit(0.0))).select("source", "field_name", "measure", "size", F.col("n").alias("values"))
 
 
