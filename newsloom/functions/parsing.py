@@ -10,10 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from newsloom.functions import scoring
+from newsloom.functions.text import stripped
 
 
 def cleaned(answer: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.coalesce(answer, F.lit("")), r"(?s)<think>.*?</think>", ""), r"(?U)^\s+|\s+$", "")
+    return stripped(F.regexp_replace(F.coalesce(answer, F.lit("")), r"(?s)<think>.*?</think>", ""))
 
 
 def _json(text: Column, schema: str, opening: str, closing: str, lazy: bool = False) -> Column:

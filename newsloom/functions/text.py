@@ -14,6 +14,10 @@ WIRE_HOSTS = ["apnews.com", "reuters.com", "afp.com", "upi.com"]
 WIRE_PATTERN = "(?iU)" + "|".join(rf"\b{n}\b" for n in WIRE_NAMES)
 
 
+#: All white space of Unicode.
+WHITE_SPACE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def is_wire_copy(author: Column, host: Column) -> Column:
     """By-line of a wire service on a host that isn't one itself; null or empty authors never."""
     return F.coalesce(author.rlike(WIRE_PATTERN), F.lit(False)) & ~F.coalesce(F.lower(host).isin(WIRE_HOSTS), F.lit(False))
@@ -30,8 +34,8 @@ def tokens(text: Column) -> Column:
 
 
 def stripped(text: Column) -> Column:
-    """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space of any kind at both ends; linear, whatever runs of blanks a text holds."""
+    return F.trim(text, F.lit(WHITE_SPACE))
 
 
 def word_count(text: Column) -> Column:

@@ -126,3 +126,12 @@ def similar_texts(df: DataFrame, group_col: str, id_col: str, text_col: str, thr
     common = both.withColumn("common", F.size(F.array_intersect("x", "y")))
     links = common.withColumn("similarity", F.col("common") / (F.size("x") + F.size("y") - F.col("common"))).where(F.col("similarity") >= threshold)
     return SimilarTexts(members, materialize(links.select("grp", "a", "b", "similarity"), "similar-links"))
+
+
+def linked(found: SimilarTexts) -> DataFrame:
+    """(grp, id, class_id, links): each member, the least id of its class, and the number of other members similar to it."""
+    sizes = found.members.groupBy("grp", "class").agg(F.count("*").alias("n"), F.min("id").alias("class_id"))
+    both = found.links.select("grp", "a", "b").union(found.links.select("grp", "b", "a"))
+    others = both.join(sizes.select("grp", F.col("class").alias("b"), "n"), ["grp", "b"]).groupBy("grp", F.col("a").alias("class")).agg(F.sum("n").alias("others"))
+    rows = found.members.join(sizes, ["grp", "class"]).join(others, ["grp", "class"], "left")
+    return rows.select("grp", "id", "class_id", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"))

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.runtime import materialize
+
 
 def topic_metrics(topics: DataFrame, clusters: DataFrame, articles: DataFrame) -> DataFrame:
     """(topic_id, article_count, source_count, first_at, last_at); topics without articles have 0, 0 and nulls."""
@@ -108,6 +110,18 @@ def page(df: DataFrame, order: list[Column], number: int, size: int = 20) -> Dat
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Row numbers over the whole table without one task holding it: ranks within range partitions plus the rows before.
+
+    Only the partitions' counts, one row each, meet in one task.
+    """
+    parts = materialize(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranked")
+    counts = parts.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return parts.withColumn("_r", within).join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + F.col("_r")).drop("_p", "_r", "_before")
+
+
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
     """The first ``k`` rows of each group; Spark prunes each partition to k rows per group before the shuffle."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= k)

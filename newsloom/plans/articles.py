@@ -44,17 +44,16 @@ pairs AS (SELECT a.topic_id, a.id AS a, b.id AS b, count(*) / (a.n + b.n - count
 )
 
 
-@query(f"WITH {_SETS} SELECT topic_id, a AS article_a, b AS article_b, CAST(round_even(j, 6) AS DOUBLE) AS similarity FROM pairs WHERE j >= 0.7")
-def shingle_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Similar pairs of distinct articles of one topic, copies expanded (topics hold few)."""
+@query(f"""WITH {_SETS}, sym AS (SELECT topic_id, a, b, j FROM pairs UNION ALL SELECT topic_id, b, a, j FROM pairs)
+SELECT s.topic_id, s.id AS article_id, least(s.id, coalesce(min(b) FILTER (j = 1), s.id)) AS class_id, count(b) FILTER (j >= 0.7) AS links FROM s LEFT JOIN sym ON a = s.id AND sym.topic_id = s.topic_id GROUP BY s.topic_id, s.id""")
+def shingle_jaccard_links(spark: SparkSession, d: str) -> DataFrame:
+    """Each article with shingles: the least article of its topic with the same shingles, and its similar articles there.
+
+    Links are counted from class sizes; copies are never expanded into pairs.
+    """
     inside = articles(spark, d, "content").where("content != ''").join(clusters(spark, d).select("topic_id", F.col("article_id").alias("id")), "id")
     found = similar.similar_texts(inside, "topic_id", "id", "content", 0.7)
-    m = found.members
-    own = m.groupBy("grp", "class").agg(F.count("*").alias("n")).where("n > 1").select("grp", F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("similarity"))
-    links = found.links.unionByName(own)
-    x, y = m.select("grp", F.col("class").alias("a"), F.col("id").alias("x")), m.select("grp", F.col("class").alias("b"), F.col("id").alias("y"))
-    pairs = links.join(x, ["grp", "a"]).join(y, ["grp", "b"]).where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
-    return pairs.select(F.col("grp").alias("topic_id"), F.least("x", "y").alias("article_a"), F.greatest("x", "y").alias("article_b"), F.bround("similarity", 6).alias("similarity"))
+    return similar.linked(found).select(F.col("grp").alias("topic_id"), F.col("id").alias("article_id"), "class_id", "links")
 
 
 _EDGES = f"""{_SETS}, svc AS (SELECT topic_id, s.id, nullif(lower(regexp_extract(byline, '{_RE}')), '') AS service FROM w JOIN s USING (topic_id, id)),

@@ -175,12 +175,14 @@ def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
     """All similar pairs within a pool: every pair of a pool is compared, as the pool's matrix is the feature.
 
     Each pool's vectors are compared block by block in numpy (grouped by pool and block of rows), so no task holds more
-    than two blocks and no pair row is built for a pair that fails.
+    than two blocks of about 10,000 rows and no pair row is built for a pair that fails.
     """
-    return _blocked_pairs(table(spark, d, "embeddings"), 0.3)
+    e = table(spark, d, "embeddings")
+    most = e.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    return _blocked_pairs(e, 0.3, max(1, -(-most // 10_000)))
 
 
-def _blocked_pairs(df: DataFrame, threshold: float, blocks: int = 8) -> DataFrame:
+def _blocked_pairs(df: DataFrame, threshold: float, blocks: int) -> DataFrame:
     import numpy as np
     import pandas as pd
 

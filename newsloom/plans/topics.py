@@ -112,20 +112,7 @@ def topics_in_default_order(spark: SparkSession, d: str) -> DataFrame:
     Places come from a range-partitioned sort; partition offsets are a count per partition, so no task sees all rows.
     """
     order = [F.desc_nulls_first("trending_score"), F.desc_nulls_first("last_article_at"), F.asc("id")]
-    return global_rank(table(spark, d, "topics").select("id", "trending_score", "last_article_at"), order, "place").select(F.col("id").alias("topic_id"), "place")
-
-
-def global_rank(df: DataFrame, order: list, name: str) -> DataFrame:
-    """Row numbers over the whole table without one task holding it all: ranks within range partitions plus their offsets."""
-    from pyspark.sql import Window
-
-    from newsloom.runtime import materialize
-
-    parts = materialize(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranked")
-    offsets = parts.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = offsets.alias("x").join(offsets.alias("y"), F.col("y._p") < F.col("x._p"), "left").groupBy(F.col("x._p").alias("_p")).agg(F.coalesce(F.sum("y._n"), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    return parts.withColumn("_r", within).join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + F.col("_r")).drop("_p", "_r", "_before")
+    return ops.global_rank(table(spark, d, "topics").select("id", "trending_score", "last_article_at"), order, "place").select(F.col("id").alias("topic_id"), "place")
 
 
 @query(f"""WITH {ART}, {CLU}, {_FACTS}, f AS (SELECT topic_id, source_id, epoch_us(published_at) us FROM facts WHERE published_at IS NOT NULL),
