@@ -112,7 +112,7 @@ def near_duplicates(
     id_type = df.schema[id_col].dataType.simpleString()
     texts = df.select(df[id_col].alias("id"), df[text_col].alias("text")).where("id is not null and text is not null")
     runs = math.ceil(-math.log(1 - recall)) + 3
-    rows = texts.count()
+    rows = df.count()
     limit = bucket
     frequent = frequent_shingles(texts, rows, k, min_words, limit)
     while len(frequent) > 4_000_000:  # what is broadcast stays below 32 MB

@@ -122,3 +122,17 @@ def overlap_report(df: DataFrame, found: Overlap, id_col: str = "id", split_col:
     per_class = found.links.join(sizes, "train").groupBy(F.col("eval").alias("class")).agg(F.sum("n").alias("pairs"))
     per_record = found.members.where("side = 1").join(per_class, "class").select("id", "pairs")
     return own.join(per_record, "id", "left").groupBy("split", "source").agg(F.count("*").alias("records"), F.count("pairs").alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
+
+
+def record_overlaps(found: Overlap) -> DataFrame:
+    """(id, side, class, links, shared, runs, spans, longest): each record once, its class and its partners on the other side.
+
+    Coverage (covered and all distinct runs, number of spans, words of the longest) is null for records whose spans cover
+    too little for any partner. Copies aren't expanded: links are counted from class sizes.
+    """
+    sizes = found.members.groupBy("side", "class").agg(F.count("*").alias("n"))
+    ends = found.links.select(F.col("train").alias("class"), F.lit(0).alias("side"), F.col("eval").alias("other")).union(found.links.select("eval", F.lit(1), "train"))
+    partner = sizes.select((1 - F.col("side")).alias("side"), F.col("class").alias("other"), "n")
+    links = ends.join(partner, ["side", "other"]).groupBy("side", "class").agg(F.sum("n").alias("links"))
+    rows = found.members.join(links, ["side", "class"], "left").join(found.coverage, ["side", "class"], "left")
+    return rows.select("id", "side", "class", F.coalesce("links", F.lit(0).cast("long")).alias("links"), "shared", "runs", "spans", "longest")

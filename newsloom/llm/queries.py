@@ -11,7 +11,7 @@ from newsloom.llm.encode import encode_corpus
 from newsloom.llm.leaks import leaked_items
 from newsloom.llm.names import variant_groups, variant_pairs
 from newsloom.llm.neardup import grouped, linked_pairs, near_duplicates
-from newsloom.llm.overlap import cross_split_overlap, overlap_report, overlapping_pairs
+from newsloom.llm.overlap import cross_split_overlap, overlap_report, overlapping_pairs, record_overlaps
 from newsloom.llm.pieces import split_oversized
 from newsloom.llm.repeated import prefix_span, repeated_lines, without_repeated_lines
 from newsloom.llm.residue import residue
@@ -40,6 +40,11 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap_report(docs, cross_split_overlap(docs)).withColumnRenamed("source", "source_id")
 
 
+def p3_records(spark: SparkSession, d: str) -> DataFrame:
+    """Each record: its class, its number of partners across the splits and its coverage by shared spans."""
+    return record_overlaps(cross_split_overlap(table(spark, d, "dataset_documents"))).withColumnRenamed("id", "doc_id")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines(table(spark, d, "articles")).select(F.col("id").alias("article_id"), "line_no")
 
@@ -110,7 +115,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_clean_articles, p3_found, p3_report, p4_found, p4_sequences, p4_texts, p5_found, p5_entities, p6_found, p6_rates, p6_limits, p7_found, p7_groups, p8_ids, p9_found, p9_leaks_by_item, p10_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_clean_articles, p3_found, p3_report, p3_records, p4_found, p4_sequences, p4_texts, p5_found, p5_entities, p6_found, p6_rates, p6_limits, p7_found, p7_groups, p8_ids, p9_found, p9_leaks_by_item, p10_pieces)}
 
 
 _WORDS = "regexp_extract_all(lower({}), '[a-z0-9'']+')"

@@ -73,7 +73,7 @@ def _contains_any(text: Column, literals: list[str]) -> Column:
 def evidence(line: Column) -> Column:
     """'template', 'filler', 'error' or 'script' for a line that shows it, else null."""
     low = F.lower(line)
-    filler = r"(?i)(?:(?<![\w])(?:" + "|".join(FILLER_WORDS) + r")(?![\w])[\s,.;:]*){4,}"
+    filler = r"(?i)(?:(?<![\w])(?:" + "|".join(FILLER_WORDS) + r")(?![\w])[\s,.;:]*){4}"
     bare = F.regexp_replace(line, _QUOTED, " ")
     return (
         F.when(line.rlike(_MARK_HINT) & line.rlike("|".join(TEMPLATE_MARKS)), "template")

@@ -99,6 +99,13 @@ def test_cross_split(spark, seed):
     s = {i: run_set(t) for i, t in texts.items()}
     expected = {(i, j) for i, j in itertools.combinations(side, 2) if side[i] != side[j] and len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j])}
     assert got == expected and expected
+    links = defaultdict(int)
+    for i, j in expected:
+        links[i] += 1
+        links[j] += 1
+    records = {r["id"]: r for r in overlap.record_overlaps(found).collect()}
+    assert {i: r["links"] for i, r in records.items()} == {i: links[i] for i in side}
+    assert all(r["longest"] >= 5 and r["shared"] <= r["runs"] for r in records.values() if r["links"])
     report = overlap.overlap_report(df.withColumn("source_id", F.lit(1)), found)
     assert report.agg(F.sum("pairs")).first()[0] == len(expected)
 
