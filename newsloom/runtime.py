@@ -11,15 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: str | None = None
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
+
+
+def _remove(path: str) -> None:
+    spark = _written.pop(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _remove_written() -> None:
     """Deletes the intermediate tables of this process; results derived from them are gone with the session anyway."""
-    for spark, path in _written:
+    for path in list(_written):
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _remove(path)
         except Exception:  # noqa: BLE001 - the session may have ended before
             return
 
@@ -53,9 +58,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/newsloom/{name}-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(_remove_written)
-    _written.append((spark, path))
+    _written[path] = spark
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._newsloom_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialize`` gave, once all that needs them is materialized itself."""
+    for t in tables:
+        path = getattr(t, "_newsloom_path", None)
+        if path in _written:
+            _remove(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
