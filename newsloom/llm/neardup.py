@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.shingling import mix
 from newsloom.operators.similar import class_of, frequent_shingles, lists, longs, shingle_set
-from newsloom.runtime import materialize
+from newsloom.runtime import discard, materialize
 
 _SIGNED = np.int64
 _SKETCH_BITS = 128
@@ -200,6 +200,7 @@ def near_duplicates(
             yield pa.record_batch([b.column(0), b.column(1), pa.array(similarity)], ["a", "b", "similarity"]).filter(pa.array(similarity >= threshold))
 
     links = materialize(joined.select("a", "b", "set_a", "set_b").mapInArrow(verify, "a bigint, b bigint, similarity double"), "links")
+    discard(candidates, known)
     return NearDuplicates(members, links)
 
 
