@@ -156,7 +156,7 @@ def truncation(df: DataFrame, id_col: str = "id", source_col: str = "source_id",
     openings = values.select("value").mapInArrow(_count_openings, "opening string, n bigint").groupBy("opening").agg(F.sum("n").alias("n")).where(F.col("n") >= min_openings)
     news = F.col("evidence").isNull()
     usual = F.coalesce("usual", F.lit(False)) & F.col("unit").rlike(r"^['\"\u201c\u2018(]?[\p{Lu}\d]")
-    opened = open_values.withColumn("opening", _opening("unit")).join(recurrent, ["source", "key"], "left_anti")
+    opened = materialize(open_values.withColumn("opening", _opening("unit")).join(recurrent, ["source", "key"], "left_anti"), "open-lines")
     as_open = opened.where("not marked and not follows").groupBy("opening").agg(F.count("*").alias("n_open"))
     closing = openings.join(as_open, "opening", "left").where(F.col("n") >= closed_share * F.coalesce("n_open", F.lit(0)))
     inspected = materialize(
