@@ -20,6 +20,11 @@ def raw_facts(articles: DataFrame, cached: DataFrame | None = None, most: int |
     return fresh if cached is None else cached.select(*fresh.columns).unionByName(fresh)
 
 
+def fact_id(article_id: Column, n: Column) -> Column:
+    """One number for (article_id, n), in their order: no article's facts reach the next one's, as n is below 10^10."""
+    return article_id.cast("decimal(19,0)") * F.lit(10**10).cast("decimal(11,0)") + n
+
+
 def hashed_vector(fact: Column, size: int = 64) -> Column:
     """A bag of words hashed into ``size`` counts: a deterministic stand-in for an encoder."""
     t = tokens(fact)

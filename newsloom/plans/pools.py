@@ -73,7 +73,7 @@ def consensus_pools(spark: SparkSession, d: str) -> DataFrame:
     a = articles(spark, d, "source_id", "content", "status", "is_wire_content").where("status = 'complete' and not is_wire_content and content != ''")
     rows = a.join(clusters(spark, d).select(F.col("topic_id").alias("pool_id"), F.col("article_id").alias("id")), "id")
     rows = rows.select("pool_id", F.col("id").alias("article_id"), F.col("source_id").cast("string").alias("source"), "content")
-    facts = pools.raw_facts(rows, most=3).withColumn("fact_id", F.col("article_id") * 1000 + F.col("n"))
+    facts = pools.raw_facts(rows).withColumn("fact_id", pools.fact_id(F.col("article_id"), F.col("n")))
     vectors = facts.withColumn("vector", pools.hashed_vector(F.col("fact")))
     found = materialize(cluster.greedy_clusters(vectors, "pool_id", "fact_id", "vector", "source", 0.85), "pool-clusters")
     sizes = rows.groupBy("pool_id").agg(F.count("*").alias("articles"))
