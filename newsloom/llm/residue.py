@@ -50,13 +50,15 @@ SCRIPT_DEMANDS = [
     r"\bcookies are (?:disabled|required)\b", r"\baktivieren sie (?:javascript|cookies)\b", r"\bactiver (?:javascript|les cookies)\b",
     r"\bactiv[ae]r? (?:javascript|las cookies)\b", r"\bbrowser is not supported\b", r"\bunsupported browser\b",
 ]
-#: Cheap literals, one of which any line with evidence of the kind holds; they spare most lines the patterns.
+#: Cheap literals, one of which any line holds that shows an error, a demand for scripts or a stand-in; they spare most
+#: lines the patterns. A bare status code holds none of them and has a pattern of its own: the code, its word, then the
+#: end or a quotation (which is taken out before the patterns are tried).
 _PHRASE_HINTS = (
     "goes here|test test|dummy |layout only|this is |placeholder|not found|could not be|looking for|denied|permission"
     "|forbidden|unavailable|server error|gateway|database connection|fatal error|went wrong|too many|rate limited|has expired"
     "|available in your|your browser|verify |moment|maintenance|please wait|script|cookies|browser"
 ).split("|")
-_FILLER_HINTS = "lorem|ipsum|tellus|lectus|mauris|augue|quis|velit|morbi|vitae".split("|")
+_CODE_HINT = r"""(?i)\b(?:40|50)\d\b\W*(?:error|forbidden|not found|bad request)?\W*(?:["“]|$)"""
 _MARK_HINT = r"[{}%@_\[\]]|<[!%]|&lt;"
 #: A short quotation: what it holds is reported, not shown.
 _QUOTED = r"""["“][^"“”]{1,60}["”](?= |,|\.|$)"""
@@ -70,16 +72,25 @@ def _contains_any(text: Column, literals: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(x) for x in literals])
 
 
+def _by_initial(words: list[str]) -> str:
+    """An alternation of words grouped by their first letter, so that most words of a text fail on one character."""
+    return "|".join(f"{c}(?:{'|'.join(w[1:] for w in words if w[0] == c)})" for c in sorted({w[0] for w in words}))
+
+
+def _hinted(line: Column) -> Column:
+    """Whether a line can match SCRIPT_DEMANDS, ERROR_FORMS or STAND_INS at all."""
+    return _contains_any(F.lower(line), _PHRASE_HINTS) | line.rlike(_CODE_HINT)
+
+
 def evidence(line: Column) -> Column:
     """'template', 'filler', 'error' or 'script' for a line that shows it, else null."""
-    low = F.lower(line)
-    filler = r"(?i)(?:(?<![\w])(?:" + "|".join(FILLER_WORDS) + r")(?![\w])[\s,.;:]*){4}"
+    filler = r"(?i)(?:(?<![\w])(?:" + _by_initial(FILLER_WORDS) + r")(?![\w])[\s,.;:]*){4}"
     bare = F.regexp_replace(line, _QUOTED, " ")
     return (
         F.when(line.rlike(_MARK_HINT) & line.rlike("|".join(TEMPLATE_MARKS)), "template")
-        .when(_contains_any(low, _FILLER_HINTS) & line.rlike(filler), "filler")
+        .when(line.rlike(filler), "filler")
         .when(
-            _contains_any(low, _PHRASE_HINTS),
+            _hinted(line),
             F.when(bare.rlike(_any(SCRIPT_DEMANDS)), "script").when(bare.rlike(_any(ERROR_FORMS)), "error").when(bare.rlike(_any(STAND_INS)), "filler"),
         )
     )
