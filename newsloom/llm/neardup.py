@@ -27,16 +27,37 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits((least >> np.uint32(7)).astype(np.uint8) & 1).view(np.uint64)
 
 
+def survival(ending: float, deepest: int) -> float:
+    """The least probability that two sets at the threshold meet in one run.
+
+    At each node they have at least one common child in expectation (exactly one where one set holds the other), of which
+    at least ``ending`` ends a path and the rest goes on below; at the depth ``deepest`` all children end.
+    """
+    met = 1 - math.exp(-1)
+    for _ in range(deepest - 1):
+        met = 1 - math.exp(-(ending + (1 - ending) * met))
+    return met
+
+
 class Paths:
     """The paths a set takes: at each node of the tree each token is chosen by hash with probability 1 / (threshold * size).
 
     A path ends at the first token that isn't frequent; only frequent tokens are descended below, so that buckets stay
     small. ``deepest`` ends the recursion where all tokens of a large group of copies are frequent.
+
+    A set makes as many of the runs as its share of frequent tokens asks for, ``least`` at the least: if a share f of its
+    tokens is frequent, at least 1 - f / threshold of the common children at a node end a path. A pair meets in the runs
+    of the set that makes fewer of them, for which that set's own share is a bound, so ``recall`` holds for both.
     """
 
-    def __init__(self, runs: int, threshold: float, frequent: np.ndarray, deepest: int = 5):
-        self.roots = mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        self.threshold, self.frequent, self.deepest = threshold, frequent, deepest
+    def __init__(self, recall: float, threshold: float, frequent: np.ndarray, deepest: int = 5, least: int = 0):
+        self.recall, self.threshold, self.frequent, self.deepest, self.least = recall, threshold, frequent, deepest, least
+        self.roots = mix(np.arange(1, self.runs(1.0) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def runs(self, share: float) -> int:
+        """How many runs a set makes of whose tokens this share is frequent."""
+        met = survival(max(0.0, 1 - share / self.threshold), self.deepest)
+        return max(self.least, math.ceil(math.log(1 - self.recall) / math.log(1 - met)))
 
     def of(self, s: np.ndarray) -> np.ndarray:
         limit = np.uint64(min(2**64 - 1, int(2**64 / (self.threshold * len(s)))))
@@ -46,7 +67,7 @@ class Paths:
             often = self.frequent[at] == s
         else:
             often = np.zeros(len(s), bool)
-        nodes, out = self.roots, []
+        nodes, out = self.roots[: self.runs(np.count_nonzero(often) / len(s))], []
         for depth in range(1, self.deepest + 1):
             children = mix(nodes[:, None] ^ s[None, :])
             chosen = mix(children) < limit
@@ -98,9 +119,10 @@ def near_duplicates(
     Texts with the same set form a class, so copies add no work. Each set follows paths in a random tree: at each node it
     chooses its tokens by a hash all sets share, with probability 1 / (threshold * size), and descends below the chosen
     frequent ones (in more than ``bucket`` texts; counted over all texts first). Two sets of similarity J meet in
-    at least J / threshold paths of a run in expectation, so a pair at the threshold is missed by one run with
-    probability about 1/e and by all of r runs with about exp(-r); ceil(-ln(1 - recall)) + 3 runs are made (the 3 cover
-    paths that end early below frequent tokens). Buckets are compared by 128-bit sketches, far below the threshold in
+    at least J / threshold paths of a run in expectation, so where no token is frequent a pair at the threshold is missed
+    by one run with probability 1/e at most and by all of r runs with exp(-r); ceil(-ln(1 - recall)) + 3 runs are made at
+    least. Below frequent tokens a pair must survive at each level: sets with many of them make more runs, up to 23 for a
+    recall of 0.999 where all are frequent (``survival``). Buckets are compared by 128-bit sketches, far below the threshold in
     what they reject, and every pair that is left is verified on the full sets.
 
     Each class enters once, from the first aggregation on; one shuffle moves (path, class, size, sketch); a bucket is read
@@ -111,14 +133,14 @@ def near_duplicates(
     spark = df.sparkSession
     id_type = df.schema[id_col].dataType.simpleString()
     texts = df.select(df[id_col].alias("id"), df[text_col].alias("text")).where("id is not null and text is not null")
-    runs = math.ceil(-math.log(1 - recall)) + 3
+    least = math.ceil(-math.log(1 - recall)) + 3
     rows = df.count()
     limit = bucket
     frequent = frequent_shingles(texts, rows, k, min_words, limit)
     while len(frequent) > 4_000_000:  # what is broadcast stays below 32 MB
         limit *= 4
         frequent = frequent_shingles(texts, rows, k, min_words, limit)
-    shared = spark.sparkContext.broadcast(Paths(runs, threshold, frequent))
+    shared = spark.sparkContext.broadcast(Paths(recall, threshold, frequent, least=least))
 
     def enter(batches):
         paths = shared.value
