@@ -130,8 +130,9 @@ def truncation(df: DataFrame, id_col: str = "id", source_col: str = "source_id",
     (d) its last line opens like at least ``min_openings`` complete, longer sentences of the corpus do, and at least
         ``closed_share`` times as many as there are openly ending lines with this opening: headlines, credits and
         notices, which are complete without a full stop, end openly as a rule.
-    A last line that at least ``min_recurrent`` articles of its source share is no cut, nor are messages and filler
-    (problem 1) unless by (b).
+    An unmarked last line that at least ``min_recurrent`` distinct texts of its source share is no cut: a notice ends
+    them, at a limit by chance too, while copies of one text count once. A mark is evidence by itself. Messages and filler
+    (problem 1) are no cuts unless by (b). Copies count once where sizes vote for limits and where open lines are weighed.
     Null and blank values are complete; null ids and sources are left out; rows delivered again count once.
     """
     source = df[source_col].alias("source")
@@ -146,28 +147,32 @@ def truncation(df: DataFrame, id_col: str = "id", source_col: str = "source_id",
         .withColumn("base", F.expr("substring(value, 1, length(value) - length(mark))"))
         .withColumn("units", F.split("line", _SENTENCE_BREAK))
         .select(
-            "source", "id", "field_name", (F.col("mark") != "").alias("marked"), F.xxhash64(line_key(F.col("line"))).alias("key"), F.element_at("units", -1).alias("unit"), (F.size("units") > 1).alias("follows"),
+            "source", "id", "field_name", F.xxhash64("value").alias("text"), (F.col("mark") != "").alias("marked"), F.xxhash64(line_key(F.col("line"))).alias("key"), F.element_at("units", -1).alias("unit"), (F.size("units") > 1).alias("follows"),
             evidence(F.col("line")).alias("evidence"), F.array_distinct(F.concat(measures(F.col("value")), measures(F.col("base")))).alias("sizes"),
         )
     )
     open_values = open_values.dropDuplicates(["id", "field_name"])
-    lines = values.select("source", "id", F.explode(F.split("value", "\n", -1)).alias("line")).withColumn("k", line_key(F.col("line"))).where("k != ''")
-    recurrent = distinct_support(lines.select("source", F.xxhash64("k").alias("key"), "id"), ["source", "key"], "id").where(F.col("support") >= min_recurrent)
+    # each text stands for its least article, so neither copies nor two fields of one article count twice
+    keys = F.transform(F.split("value", "\n", -1), line_key)
+    lines = values.select("source", "id", keys.alias("keys")).select("source", "id", F.xxhash64("keys").alias("text"), F.explode("keys").alias("k")).where("k != ''")
+    once = lines.groupBy("source", F.xxhash64("k").alias("key"), "text").agg(F.min("id").alias("id"))
+    recurrent = distinct_support(once, ["source", "key"], "id").where(F.col("support") >= min_recurrent).select("source", "key", F.lit(True).alias("recurs"))
     openings = values.select("value").mapInArrow(_count_openings, "opening string, n bigint").groupBy("opening").agg(F.sum("n").alias("n")).where(F.col("n") >= min_openings)
-    news = F.col("evidence").isNull()
+    news, own = F.col("evidence").isNull(), ~F.col("recurs")
     usual = F.coalesce("usual", F.lit(False)) & F.col("unit").rlike(r"^['\"\u201c\u2018(]?[\p{Lu}\d]")
-    opened = materialize(open_values.withColumn("opening", _opening("unit")).join(recurrent, ["source", "key"], "left_anti"), "open-lines")
-    as_open = opened.where("not marked and not follows").groupBy("opening").agg(F.count("*").alias("n_open"))
+    known = open_values.withColumn("opening", _opening("unit")).join(recurrent, ["source", "key"], "left")
+    opened = materialize(known.withColumn("recurs", F.coalesce("recurs", F.lit(False))), "open-lines")
+    as_open = opened.where("not marked and not follows and not recurs").select("opening", "source", "key").distinct().groupBy("opening").agg(F.count("*").alias("n_open"))
     closing = openings.join(as_open, "opening", "left").where(F.col("n") >= closed_share * F.coalesce("n_open", F.lit(0)))
     inspected = materialize(
         opened.join(closing.select("opening", F.lit(True).alias("usual")), "opening", "left")
-        .withColumn("ends_open", (news & (F.col("marked") | F.col("follows"))) | ((news | (F.col("evidence") == "template")) & (F.col("marked") | usual)))
-        .select("source", "id", "field_name", "sizes", "ends_open"),
+        .withColumn("ends_open", (news & (F.col("marked") | (F.col("follows") & own))) | ((news | (F.col("evidence") == "template")) & (F.col("marked") | (usual & own))))
+        .select("source", "id", "field_name", "text", "sizes", "recurs", "ends_open"),
         "open-endings",
     )
-    limits = hidden_limits(inspected.where("ends_open"))
+    limits = hidden_limits(inspected.where("ends_open").dropDuplicates(["source", "field_name", "text"]))
     at = (
-        inspected.where("not ends_open")
+        inspected.where("not ends_open and not recurs")
         .select("source", "id", "field_name", F.inline("sizes"))
         .withColumnRenamed("size", "exact")
         .withColumn("size", F.explode(F.sequence(F.col("exact"), F.col("exact") + 2)))
