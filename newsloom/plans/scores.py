@@ -235,6 +235,7 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
             q, x = shared.value
             best: list = []
             for b in batches:
+                b = b.sort_by("vec_id")  # the stable order below leaves equal similarities by vec_id
                 own = b.column(0).to_numpy()
                 v = np.array(b.column(1).to_pylist(), np.float64).reshape(len(own), -1)
                 if not len(own) or not len(q):
