@@ -237,6 +237,8 @@ def trie_join(keys: DataFrame) -> DataFrame:
     ``keys`` is (kind, key). Every key is stored in the shards of its whole pieces, in all orders of its (two or three)
     words, and asked for in the shards where a neighbour must share a piece; each shard becomes a trie that the automata
     of the asked keys traverse. Shards are small because they hold a third of a distinct name at a fixed place.
+    Not joined: keys of fewer than 6 characters ('Bo Li' and 'Bo Lii' stay apart) and short forms of organisations ('#').
+    Callers leave out single words.
     """
     forms = keys.select("kind", "key").distinct().mapInPandas(_forms, "shard string, form string, key string, stored boolean")
     return forms.repartition("shard").sortWithinPartitions("shard").mapInPandas(_in_shards, "a string, b string").distinct()
