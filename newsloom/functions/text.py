@@ -95,8 +95,9 @@ def slugify(text: Column, length: int) -> Column:
 
 
 def source_name(host: Column) -> Column:
-    """A display name from a host: its first label, capitalised."""
-    return F.initcap(F.split_part(host, F.lit("."), F.lit(1)))
+    """A display name from a host: its first label, each run of letters capitalised."""
+    runs = F.split(F.split_part(host, F.lit("."), F.lit(1)), r"(?<=\P{L})")
+    return F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 1_000)))), "")
 
 
 def names_joined(names: Column, length: int = 300) -> Column:

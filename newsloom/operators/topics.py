@@ -133,10 +133,22 @@ def last_wins(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(back)).withColumn("_m", F.count("*").over(Window.partitionBy(*by))).where("_n = _m").drop("_n", "_m")
 
 
-def suffixed_slugs(df: DataFrame, base: str, order: list[Column], start: int = 1) -> DataFrame:
-    """``slug``: the base for its first row, base-<n> for the others, n from ``start`` on."""
-    n = F.row_number().over(Window.partitionBy(base).orderBy(*order))
-    return df.withColumn("slug", F.when(n == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("-"), (n - 2 + start).cast("string"))))
+def suffixed_slugs(df: DataFrame, base: str, order: list[Column], start: int = 1, taken: DataFrame | None = None) -> DataFrame:
+    """``slug``: the base for its first row, base-<n> for the others, n the next free number from ``start`` on.
+
+    Slugs in ``taken`` (column slug) aren't given again, nor is a numbered slug that is another row's base.
+    """
+    bases = df.select(F.col(base).alias("slug")).where("slug is not null")
+    used = (bases if taken is None else bases.unionByName(taken.select("slug"))).distinct()
+    numbers = used.select(F.regexp_extract("slug", r"^(.*)-(\d{1,9})$", 1).alias(base), F.regexp_extract("slug", r"^(.*)-(\d{1,9})$", 2).try_cast("long").alias("_n")).where("_n is not null")
+    gone = numbers.groupBy(base).agg(F.array_sort(F.collect_set("_n")).alias("_gone"))
+    own = F.row_number().over(Window.partitionBy(base).orderBy(*order))
+    rows = df.withColumn("_k", own).join(gone, base, "left")
+    if taken is not None:
+        rows = rows.join(taken.select(F.col("slug").alias(base), F.lit(1).alias("_stored")).distinct(), base, "left").withColumn("_k", F.col("_k") + F.coalesce("_stored", F.lit(0))).drop("_stored")
+    first = (F.col("_k") - 2 + start).cast("long")
+    free = F.aggregate(F.coalesce("_gone", F.array().cast("array<bigint>")), first, lambda n, used_n: F.when((used_n >= start) & (used_n <= n), n + 1).otherwise(n))
+    return rows.withColumn("slug", F.when(F.col("_k") == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("-"), free.cast("string")))).drop("_k", "_gone")
 
 
 def round_robin(df: DataFrame, label: str, order: list[Column], limit: int) -> DataFrame:

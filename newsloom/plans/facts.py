@@ -65,13 +65,13 @@ def label_facts(spark: SparkSession, d: str) -> DataFrame:
     return facts.label_facts(labels, "subjectivity", "The text is ")
 
 
-@query(f"""WITH {DOC}, d AS (SELECT *, CASE source_id WHEN 1 THEN 'courtside' WHEN 2 THEN 'statutes' ELSE 'stances' END AS label FROM doc WHERE len(list_filter(regexp_split_to_array(primary_text, '[\\s\\x{{00a0}}]+'), lambda w: w <> '')) >= 20),
+@query(f"""WITH {DOC}, d AS (SELECT *, CASE source_id WHEN 1 THEN 'rotowire' WHEN 2 THEN 'billsum' ELSE 'political_bias' END AS label FROM doc WHERE len(list_filter(regexp_split_to_array(primary_text, '[\\s\\x{{00a0}}]+'), lambda w: w <> '')) >= 20),
 t AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY id) AS turn FROM d) SELECT id AS document_id, label, turn FROM t ORDER BY turn, label LIMIT 90""")
 def round_robin_sample(spark: SparkSession, d: str) -> DataFrame:
     """A balanced sample: 90 texts of at least 20 words, taken in turn from the three datasets."""
     from newsloom.operators.topics import round_robin
 
-    label = F.when(F.col("source_id") == 1, "courtside").when(F.col("source_id") == 2, "statutes").otherwise("stances")
+    label = F.when(F.col("source_id") == 1, "rotowire").when(F.col("source_id") == 2, "billsum").otherwise("political_bias")
     rows = documents(spark, d, "source_id", "primary_text").where(text.word_count(F.col("primary_text")) >= 20).select(F.col("id").alias("document_id"), label.alias("label"))
     return round_robin(rows, "label", [F.asc("document_id")], 90).withColumn("turn", F.col("turn").cast("long"))
 
@@ -162,14 +162,6 @@ def daily_events(spark: SparkSession, d: str) -> DataFrame:
     return g.agg(F.count("*").alias("events"), F.count_distinct("user_id").alias("users"), F.bround(F.sum(cents) / 10000, 4).alias("total"))
 
 
-@query("""WITH w AS (SELECT unnest(range(epoch_us(time_bucket(INTERVAL 15 MINUTE, ts)) - 86400000000 + 900000000, epoch_us(time_bucket(INTERVAL 15 MINUTE, ts)) + 1, 900000000)) AS s, event_type FROM events WHERE event_type = 'purchase')
-SELECT s AS start_us, count(*) AS events FROM w GROUP BY 1""")
-def sliding_24h_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Purchases in windows of 24 hours that start every 15 minutes."""
-    e = table(spark, d, "events").where("event_type = 'purchase'").select(F.col("ts").cast("timestamp").alias("ts"))
-    return e.groupBy(F.window("ts", "24 hours", "15 minutes").alias("w")).agg(F.count("*").alias("events")).select(F.unix_micros("w.start").alias("start_us"), "events")
-
-
 @query("""WITH o AS (SELECT user_id, epoch_us(ts) us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) p FROM events), s AS (SELECT *, sum(CASE WHEN p IS NULL OR us - p >= 7200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY us) n FROM o)
 SELECT user_id, min(us) AS start_us, max(us) + 7200000000 AS end_us, count(*) AS events FROM s GROUP BY user_id, n""")
 def session_windows(spark: SparkSession, d: str) -> DataFrame:

@@ -77,7 +77,7 @@ def consensus_pools(spark: SparkSession, d: str) -> DataFrame:
     vectors = facts.withColumn("vector", pools.hashed_vector(F.col("fact")))
     found = materialize(cluster.greedy_clusters(vectors, "pool_id", "fact_id", "vector", "source", 0.85), "pool-clusters")
     sizes = rows.groupBy("pool_id").agg(F.count("*").alias("articles"))
-    nuggets = pools.consensus_facts(found, facts.select("pool_id", "fact_id", "source", "fact"), sizes).where("source_count >= 2").withColumn("id", F.col("cluster_id"))
+    nuggets = pools.consensus_facts(found, facts.select("pool_id", "fact_id", "source", "fact"), sizes).withColumn("id", F.col("cluster_id"))
     labels = pools.judged(rows.select("pool_id", "article_id", "content"), nuggets)
     return scores.with_scores(scores.judgment_counts(labels, ["pool_id", "article_id"]))
 

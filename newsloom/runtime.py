@@ -55,16 +55,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     retry and never a recomputation of earlier stages.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/newsloom/{name}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(_remove_written)
-    _written[path] = spark
+    path = scratch(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._newsloom_path = path
     return out
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared folder, deleted when the process ends."""
+    path = f"{shared_dir(spark)}/newsloom/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_remove_written)
+    _written[path] = spark
+    return path
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that ``materialize`` gave, once all that needs them is materialized itself."""
     for t in tables:

@@ -23,7 +23,7 @@ def recent_events(spark: SparkSession, path: str, now: str, hours: int = 24, min
     today = F.lit(now).cast("timestamp")
     since = (today - F.expr(f"INTERVAL {hours} HOURS")).cast("date")
     e = spark.read.schema(EVENT).json(path).where((F.coalesce("uri", F.lit("")) != "") & (F.col("totalArticleCount") >= min_articles))
-    e = e.where(F.to_date("eventDate").between(since, today.cast("date"))).orderBy(F.desc("eventDate"), "uri")
+    e = e.where(F.try_to_timestamp("eventDate").cast("date").between(since, today.cast("date"))).orderBy(F.desc("eventDate"), "uri")
     return e if max_items is None else e.limit(max_items)
 
 

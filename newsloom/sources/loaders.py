@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import word_count
@@ -18,17 +18,32 @@ from newsloom.operators.topics import round_robin
 DOCUMENT = "external_id string, split string, title string, primary_text string, reference_content string, metadata string"
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_i``, the position over all files in the order of their paths, from ``_file`` and ``_row`` (the position in the file).
+
+    Only one count per file is gathered, so the number of files bounds what the window holds.
+    """
+    sizes = rows.groupBy("_file").agg((F.max("_row") + 1).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_file", F.coalesce(before, F.lit(0)).alias("_start"))
+    return rows.join(starts, "_file").withColumn("_i", F.col("_start") + F.col("_row")).drop("_file", "_row", "_start")
+
+
+def _parquet_rows(spark: SparkSession, path: str) -> DataFrame:
+    return numbered(spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")))
+
+
 def box_scores(spark: SparkSession, folder: str, split: str = "train", limit: int | None = None) -> DataFrame:
-    """Games of ``<folder>/<split>.json``, one JSON array a file; the external id is the split and the position.
+    """Games of ``<folder>/<split>.json``, one JSON array a file; the external id is the split and the position over all files.
 
-    A file is read whole by one task, as an array can't be split; a folder of files is read in parallel.
+    A file is read whole by one task, as an array can't be split; a pattern of files is read in parallel.
     """
-    files = spark.read.format("binaryFile").load(f"{folder}/{split}.json").select("content")
+    files = spark.read.format("binaryFile").load(f"{folder}/{split}.json").select("path", "content")
 
     def run(frames):
         for frame in frames:
             rows = []
-            for raw in frame["content"]:
+            for path, raw in zip(frame["path"], frame["content"]):
                 for i, g in enumerate(json.loads(raw.decode("utf-8"))[:limit]):
                     names = {k: str(g.get(k) or "") for k in ("home_name", "vis_name", "home_city", "vis_city", "day")}
                     text = g.get("summary") or ""
@@ -36,15 +51,17 @@ def box_scores(spark: SparkSession, folder: str, split: str = "train", limit: in
                     content = {k: g.get(k) or {} for k in ("box_score", "home_line", "vis_line")}
                     meta = {"home_team": names["home_name"], "away_team": names["vis_name"], "home_city": names["home_city"], "away_city": names["vis_city"], "day": names["day"]}
                     title = f"{names['vis_city']} {names['vis_name']} @ {names['home_city']} {names['home_name']}"
-                    rows.append((f"{split}_{i}", split, title, text, json.dumps(content), json.dumps(meta)))
-            yield pd.DataFrame(rows, columns=["external_id", "split", "title", "primary_text", "reference_content", "metadata"])
+                    rows.append((path, i, split, title, text, json.dumps(content), json.dumps(meta)))
+            yield pd.DataFrame(rows, columns=["_file", "_row", "split", "title", "primary_text", "reference_content", "metadata"])
 
-    return files.mapInPandas(run, DOCUMENT)
+    games = numbered(files.mapInPandas(run, "_file string, _row bigint, " + DOCUMENT.split(", ", 1)[1]))
+    kept = games if limit is None else games.where(F.col("_i") < limit)
+    return kept.select(F.concat(F.lit(f"{split}_"), F.col("_i").cast("string")).alias("external_id"), "split", "title", "primary_text", "reference_content", "metadata")
 
 
 def summaries(spark: SparkSession, path: str, split: str = "train", limit: int | None = None) -> DataFrame:
     """Parquet rows of (text, summary, title); rows without a text or summary go, positions in the id are those before."""
-    rows = spark.read.parquet(path).select("*", F.monotonically_increasing_id().alias("_i"))
+    rows = _parquet_rows(spark, path)
     kept = rows.where((F.coalesce("text", F.lit("")) != "") & (F.coalesce("summary", F.lit("")) != ""))
     if limit is not None:
         kept = kept.orderBy("_i").limit(limit)
@@ -88,7 +105,7 @@ def zipped_texts(spark: SparkSession, path: str, split: str = "train", limit: in
 
 def labelled_sentences(spark: SparkSession, path: str, split: str = "train", limit: int | None = None) -> DataFrame:
     """Parquet rows of (text, label, label_text); a missing label_text follows from the label (0 objective, else subjective)."""
-    rows = spark.read.parquet(path).select("*", F.monotonically_increasing_id().alias("_i")).where(F.coalesce("text", F.lit("")) != "")
+    rows = _parquet_rows(spark, path).where(F.coalesce("text", F.lit("")) != "")
     if limit is not None:
         rows = rows.orderBy("_i").limit(limit)
     name = F.coalesce("label_text", F.when(F.col("label") == 0, "objective").otherwise("subjective"))
@@ -100,10 +117,10 @@ def labelled_sentences(spark: SparkSession, path: str, split: str = "train", lim
 
 #: Loaders by name with their splits; add() extends both.
 LOADERS: dict[str, tuple[Callable[..., DataFrame], list[str]]] = {
-    "courtside": (box_scores, ["train", "valid", "test"]),
-    "statutes": (summaries, ["train", "test", "ca_test"]),
-    "stances": (zipped_texts, ["train"]),
-    "sentences": (labelled_sentences, ["train", "validation", "test"]),
+    "rotowire": (box_scores, ["train", "valid", "test"]),
+    "billsum": (summaries, ["train", "test", "ca_test"]),
+    "political_bias": (zipped_texts, ["train"]),
+    "subj": (labelled_sentences, ["train", "validation", "test"]),
 }
 
 

@@ -24,12 +24,19 @@ def run_available(df: DataFrame, each: Callable[[DataFrame, int], None], checkpo
     return q
 
 
-def ingest_once(spark: SparkSession, stream: DataFrame, key: str, table_path: str, checkpoint: str) -> StreamingQuery:
-    """Appends rows whose key isn't stored yet; the batch's own repeats count once. Rerun batches add nothing."""
+def ingest_once(spark: SparkSession, stream: DataFrame, key: str, table_path: str, checkpoint: str, buckets: int = 256) -> StreamingQuery:
+    """Appends rows whose key isn't stored yet; the batch's own repeats count once. Rerun batches add nothing.
+
+    The table is partitioned by a hash of the key, so a batch reads the keys of its own buckets only, and no other column.
+    """
 
     def each(batch: DataFrame, _: int) -> None:
-        stored = spark.read.parquet(table_path) if _exists(spark, table_path) else batch.limit(0)
-        insert_absent(stored, batch, [key]).write.mode("append").parquet(table_path)
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        stored = rows.limit(0)
+        if _exists(spark, table_path):
+            mine = [r[0] for r in rows.select("bucket").distinct().collect()]
+            stored = spark.read.schema(rows.schema).parquet(table_path).where(F.col("bucket").isin(mine))
+        insert_absent(stored, rows, [key]).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(table_path)
 
     return run_available(stream, each, checkpoint)
 
@@ -37,12 +44,19 @@ def ingest_once(spark: SparkSession, stream: DataFrame, key: str, table_path: st
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(p) and len(fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*.parquet"))) > 0
+    return fs.exists(p) and len(fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*/*.parquet"))) > 0
+
+
+def tumbling_counts(stream: DataFrame, by: list[str], time: str = "ts", slide: str = "15 minutes", late: str = "1 hour") -> DataFrame:
+    """Counts per slide, the state from which windows of any length are made; rows later than ``late`` are dropped in append mode."""
+    return stream.withWatermark(time, late).groupBy(F.window(time, slide).alias("w"), *by).agg(F.count("*").alias("events"))
 
 
-def sliding_counts(stream: DataFrame, by: list[str], time: str = "ts", length: str = "24 hours", slide: str = "15 minutes", late: str = "1 hour") -> DataFrame:
-    """Counts per sliding window; rows later than ``late`` are dropped once their windows are closed."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, length, slide), *by).agg(F.count("*").alias("events"))
+def sliding_counts(buckets: DataFrame, by: list[str], length_s: int = 86_400, slide_s: int = 900) -> DataFrame:
+    """(start_us, by..., events) per sliding window, from counts per slide (w, by..., events): a row a slide is expanded, not a row an event."""
+    at = F.unix_micros("w.start")
+    starts = F.sequence(at - (length_s - slide_s) * 1_000_000, at, F.lit(slide_s * 1_000_000).cast("long"))
+    return buckets.select(F.explode(starts).alias("start_us"), *by, "events").groupBy("start_us", *by).agg(F.sum("events").alias("events"))
 
 
 def sessions(stream: DataFrame, by: str, time: str = "ts", gap: str = "2 hours", late: str = "1 hour") -> DataFrame:

@@ -211,6 +211,9 @@ def test_mentions_and_stated_facts(spark):
     stated = facts.stated_facts(facts.player_facts(p), t, m)
     assert {(r["player"], r["value"]) for r in stated.collect()} == {("Al Bo", 12), ("Cy Do", 7)}
     assert facts.facts_of_mentioned(facts.player_facts(p), m).count() == 2
+    about = facts.text_about("bo had 3. then 4 more. cy do had 5 and bo 6. also 7.", ["Al Bo", "Cy Do"])
+    assert about == {"Al Bo": "bo had 3. then 4 more. cy do had 5 and bo 6. also 7.", "Cy Do": "cy do had 5 and bo 6."}
+    assert facts.text_about("5 points", ["Al Bo"]) == {"Al Bo": "5 points"} and facts.text_about("bout 5.", ["Al Bo"])["Al Bo"] == "bout 5." and facts.text_about("x", []) == {}
 
 
 # ---- topics, pools, sinks --------------------------------------------------------------------------------------------
@@ -237,6 +240,9 @@ def test_pages_and_slugs(spark):
     df = spark.range(25).withColumn("base", F.lit("x"))
     assert [topics.page(df, [F.asc("id")], n).count() for n in (1, 2, 3)] == [20, 5, 0]
     assert [r["slug"] for r in topics.suffixed_slugs(df.limit(3), "base", [F.asc("id")], 2).orderBy("id").collect()] == ["x", "x-2", "x-3"]
+    clash = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x"), (4, "x-1"), (5, "y")], "id long, base string")
+    got = {r["id"]: r["slug"] for r in topics.suffixed_slugs(clash, "base", [F.asc("id")], taken=spark.createDataFrame([("y",), ("x-3",)], "slug string")).collect()}
+    assert got == {1: "x", 2: "x-2", 3: "x-4", 4: "x-1", 5: "y-1"}
     assert topics.phrase_search(df, " a ", [F.col("base")]).count() == 0 and topics.search(df, "", [F.col("base")]).count() == 25
 
 

@@ -12,9 +12,21 @@ from newsloom.streaming import jobs
 def test_box_scores(spark, tmp_path):
     games = [{"box_score": {"PTS": {"0": "1"}}, "summary": ["A", "game"], "home_name": "H", "vis_name": "V", "home_city": "X", "vis_city": "Y", "day": "1"}, {}]
     (tmp_path / "train.json").write_text(json.dumps(games))
-    got = loaders.load(spark, "courtside", str(tmp_path)).orderBy("external_id").collect()
+    got = loaders.load(spark, "rotowire", str(tmp_path)).orderBy("external_id").collect()
     assert [r["external_id"] for r in got] == ["train_0", "train_1"] and got[0]["primary_text"] == "A game" and got[0]["title"] == "Y V @ X H"
     assert loaders.box_scores(spark, str(tmp_path), limit=1).count() == 1
+    (tmp_path / "valid-a.json").write_text(json.dumps(games))
+    (tmp_path / "valid-b.json").write_text(json.dumps(games[:1]))
+    two = loaders.box_scores(spark, str(tmp_path), "valid-*").collect()
+    assert sorted(r["external_id"] for r in two) == [f"valid-*_{i}" for i in range(3)] and loaders.box_scores(spark, str(tmp_path), "valid-*", limit=2).count() == 2
+
+
+def test_positions_over_several_files(spark, tmp_path):
+    for n in range(3):
+        spark.createDataFrame([(f"t{n}{i}", "s", "x") for i in range(4)], "text string, summary string, title string").coalesce(1).write.mode("append").parquet(str(tmp_path / "b"))
+    got = [r["external_id"] for r in loaders.summaries(spark, str(tmp_path / "b")).collect()]
+    assert sorted(got, key=lambda x: int(x.split("_")[1])) == [f"train_{i}" for i in range(12)]
+    assert loaders.summaries(spark, str(tmp_path / "b"), limit=5).count() == 5
 
 
 def test_zipped_texts(spark, tmp_path):
@@ -66,15 +78,18 @@ def test_ingest_once_is_idempotent(spark, tmp_path):
     jobs.ingest_once(spark, stream(), "key", out, str(tmp_path / "ck1"))
     spark.createDataFrame([("b", 9), ("c", 4)], "key string, v long").write.parquet(str(src / "2"))
     jobs.ingest_once(spark, stream(), "key", out, str(tmp_path / "ck2"))
-    assert sorted(tuple(r) for r in spark.read.parquet(out).collect()) == [("a", 1), ("b", 3), ("c", 4)]
+    assert sorted(tuple(r) for r in spark.read.parquet(out).select("key", "v").collect()) == [("a", 1), ("b", 3), ("c", 4)]
 
 
 def test_windowed_streams_build(spark, tmp_path):
     spark.createDataFrame([("a", 1)], "k string, n long").selectExpr("k", "timestamp_seconds(n) AS ts").write.parquet(str(tmp_path / "s"))
     s = jobs.file_stream(spark, str(tmp_path / "s"), "k string, ts timestamp")
     seen = []
-    jobs.run_available(jobs.sliding_counts(s, ["k"]), lambda b, _: seen.append(b.count()), str(tmp_path / "c1"), "update")
-    assert sum(seen) == 96
+    jobs.run_available(jobs.tumbling_counts(s, ["k"]), lambda b, _: seen.append(b.count()), str(tmp_path / "c1"), "update")
+    assert sum(seen) == 1
+    buckets = spark.createDataFrame([("a", 0, 5), ("a", 900, 1), ("b", 900, 2)], "k string, n long, events long").selectExpr("k", "named_struct('start', timestamp_seconds(n)) AS w", "events")
+    got = {(r["start_us"], r["k"]): r["events"] for r in jobs.sliding_counts(buckets, ["k"]).collect()}
+    assert len(got) == 97 + 96 and got[(0, "a")] == 6 and got[(900_000_000, "a")] == 1 and got[(-85_500_000_000, "a")] == 5
     for df in (jobs.sessions(s, "k"), jobs.deduplicated(s, ["k"])):
         assert df.isStreaming
 

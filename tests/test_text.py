@@ -64,6 +64,7 @@ def test_statutes(spark):
 def test_slug_and_names(spark):
     assert one(spark, text.slugify(F.lit("  Hello, World -- Again! "), 50)) == "hello-world-again"
     assert one(spark, text.source_name(F.lit("daily.example.com"))) == "Daily"
+    assert one(spark, text.source_name(F.lit("the-sun4news.co.uk"))) == "The-Sun4News"
     assert one(spark, text.names_joined(F.array(F.lit("A"), F.lit(""), F.lit(None), F.lit("B")))) == "A, B"
     assert one(spark, text.localized(F.create_map(F.lit("deu"), F.lit("Hallo")))) == "Hallo"
     assert one(spark, text.parsed_time(F.lit("nonsense"))) is None
@@ -114,8 +115,11 @@ def test_facts(spark):
     assert one(spark, parsing.facts(F.lit("none"))) == []
 
 
-def test_named_sources():
-    f = inference.named_sources
+def test_named_sources(spark):
+    def f(explanation, sources):
+        x = F.lit(None).cast("array<string>") if sources is None else F.array(*map(F.lit, sources))
+        return one(spark, inference.named_sources(F.lit(explanation).cast("string"), x))
+
     assert f("Source 0 says; Members 1 and 2 deny", ["A", "B", "C"]) == "A says; B and C deny"
     assert f("Sources 0, 1, and 2", ["A", "B", "C"]).startswith("A")
     assert f("Sources 0, 1 and 2 agree", ["A", "B", "C"]) == "A, B, and C agree"
