@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.shingling import mix
-from newsloom.operators.similar import class_of, frequent_shingles, lists, longs, shingle_set
+from newsloom.operators.components import connected_components
+from newsloom.operators.similar import class_of, lists, longs, shingle_set
 from newsloom.runtime import discard, materialize
 
 _SIGNED = np.int64
@@ -27,58 +29,33 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits((least >> np.uint32(7)).astype(np.uint8) & 1).view(np.uint64)
 
 
-def survival(ending: float, deepest: int) -> float:
-    """The least probability that two sets at the threshold meet in one run.
+def survival(deepest: int) -> float:
+    """The least probability that two sets at the threshold meet in one run whose nodes are all crowded.
 
-    At each node they have at least one common child in expectation (exactly one where one set holds the other), of which
-    at least ``ending`` ends a path and the rest goes on below; at the depth ``deepest`` all children end.
+    At each node they have at least one common child in expectation (exactly one where one set holds the other); the path
+    goes on below it, until all children end at the depth ``deepest``. For ``deepest`` 1 it is 1 - 1/e.
     """
     met = 1 - math.exp(-1)
     for _ in range(deepest - 1):
-        met = 1 - math.exp(-(ending + (1 - ending) * met))
+        met = 1 - math.exp(-met)
     return met
 
 
-class Paths:
-    """The paths a set takes: at each node of the tree each token is chosen by hash with probability 1 / (threshold * size).
+def runs_for(recall: float, deepest: int) -> int:
+    """How many runs miss at most 1 - ``recall`` of the pairs at the threshold."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - survival(deepest)))
 
-    A path ends at the first token that isn't frequent; only frequent tokens are descended below, so that buckets stay
-    small. ``deepest`` ends the recursion where all tokens of a large group of copies are frequent.
 
-    A set makes as many of the runs as its share of frequent tokens asks for, ``least`` at the least: if a share f of its
-    tokens is frequent, at least 1 - f / threshold of the common children at a node end a path. A pair meets in the runs
-    of the set that makes fewer of them, for which that set's own share is a bound, so ``recall`` holds for both.
-    """
+def roots(first: int, last: int) -> np.ndarray:
+    """The root nodes of the runs from ``first`` up to ``last``."""
+    return mix(np.arange(first + 1, last + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
 
-    def __init__(self, recall: float, threshold: float, frequent: np.ndarray, deepest: int = 5, least: int = 0):
-        self.recall, self.threshold, self.frequent, self.deepest, self.least = recall, threshold, frequent, deepest, least
-        self.roots = mix(np.arange(1, self.runs(1.0) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-    def runs(self, share: float) -> int:
-        """How many runs a set makes of whose tokens this share is frequent."""
-        met = survival(max(0.0, 1 - share / self.threshold), self.deepest)
-        return max(self.least, math.ceil(math.log(1 - self.recall) / math.log(1 - met)))
-
-    def of(self, s: np.ndarray) -> np.ndarray:
-        limit = np.uint64(min(2**64 - 1, int(2**64 / (self.threshold * len(s)))))
-        if len(self.frequent):
-            at = np.searchsorted(self.frequent, s)
-            at[at == len(self.frequent)] = 0
-            often = self.frequent[at] == s
-        else:
-            often = np.zeros(len(s), bool)
-        nodes, out = self.roots[: self.runs(np.count_nonzero(often) / len(s))], []
-        for depth in range(1, self.deepest + 1):
-            children = mix(nodes[:, None] ^ s[None, :])
-            chosen = mix(children) < limit
-            ends = chosen if depth == self.deepest else chosen & ~often[None, :]
-            out.append(children[ends])
-            if depth == self.deepest:
-                break
-            nodes = children[chosen & often[None, :]]
-            if not len(nodes):
-                break
-        return np.unique(np.concatenate(out))
+def children(nodes: np.ndarray, s: np.ndarray, threshold: float) -> np.ndarray:
+    """The nodes below ``nodes`` that a set takes: of its tokens each is chosen, by a hash all sets share, with probability 1 / (threshold * size)."""
+    limit = np.uint64(min(2**64 - 1, int(2**64 / (threshold * len(s)))))
+    below = mix(nodes[:, None] ^ s[None, :])
+    return np.unique(below[mix(below) < limit])
 
 
 class NearDuplicates:
@@ -88,8 +65,8 @@ class NearDuplicates:
         self.members, self.links = members, links
 
 
-def _pairs_in_bucket(classes, sizes, sketches, threshold: float, differ: int, block: int = 512):
-    """Brute force over one bucket in blocks: pairs whose sketches and sizes allow the similarity."""
+def _pairs_in_bucket(classes, sizes, sketches, parts, threshold: float, differ: int, block: int = 512):
+    """Brute force over one bucket in blocks: pairs whose sketches and sizes allow the similarity; of a split bucket only pairs across its two parts."""
     n = len(classes)
     for i in range(0, n, block):
         left = sketches[i : i + block]
@@ -100,7 +77,7 @@ def _pairs_in_bucket(classes, sizes, sketches, threshold: float, differ: int, bl
             large = np.maximum(sizes[i : i + block][:, None], sizes[j : j + block][None, :])
             a, b = np.nonzero((bits <= differ) & (small >= threshold * large))
             a, b = a + i, b + j
-            keep = a < b
+            keep = (a < b) & ((parts[a] < 0) | (parts[a] != parts[b]))
             yield classes[a[keep]], classes[b[keep]]
 
 
@@ -113,37 +90,33 @@ def near_duplicates(
     min_words: int = 50,
     recall: float = 0.999,
     bucket: int = 2000,
+    deepest: int = 5,
 ) -> NearDuplicates:
     """All pairs of texts whose shingle sets have a Jaccard similarity of at least ``threshold``, as classes and links.
 
-    Texts with the same set form a class, so copies add no work. Each set follows paths in a random tree: at each node it
-    chooses its tokens by a hash all sets share, with probability 1 / (threshold * size), and descends below the chosen
-    frequent ones (in more than ``bucket`` texts; counted over all texts first). Two sets of similarity J meet in
-    at least J / threshold paths of a run in expectation, so where no token is frequent a pair at the threshold is missed
-    by one run with probability 1/e at most and by all of r runs with exp(-r); ceil(-ln(1 - recall)) + 3 runs are made at
-    least. Below frequent tokens a pair must survive at each level: sets with many of them make more runs, up to 23 for a
-    recall of 0.999 where all are frequent (``survival``). Buckets are compared by 128-bit sketches, far below the threshold in
-    what they reject, and every pair that is left is verified on the full sets.
-
-    Each class enters once, from the first aggregation on; one shuffle moves (path, class, size, sketch); a bucket is read
-    as a sorted stream in one task, its classes being distinct sets. Verification shuffles the sets of candidates only.
-    Null texts and texts with fewer words aren't members; a null id is left out; rows delivered again count once (texts of
-    one id are taken to agree); an empty table gives no rows; other columns are ignored.
+    Texts with the same set form a class, so copies add no work. The sets are split recursively by shared tokens: at each
+    node of a random tree a set chooses its tokens by a hash all sets share, with probability 1 / (threshold * size), and
+    goes on in the child of each. Nodes are counted level by level over all sets; one that at most ``bucket`` classes
+    reach is a small bucket and compared by brute force, its sets go no deeper; those of a crowded node are split again
+    below it. Two sets of similarity J meet in J / threshold children of a node in expectation, so a pair at the
+    threshold is missed by one run of uncrowded nodes with probability 1/e at most; ceil(-ln(1 - recall)) + 3 runs are
+    made by all. Below crowded nodes a pair must survive at each level (``survival``): classes that reach any make all
+    the runs that ``recall`` asks for at the greatest depth. Nodes still crowded at ``deepest`` are split into blocks,
+    whose pairs are compared in tasks of their own, so no bucket of a task exceeds twice ``bucket``.
+
+    No count or token reaches the driver but whether a level has crowded nodes. Buckets are compared by 128-bit sketches,
+    far below the threshold in what they reject, and every pair that is left is verified on the full sets. Each class
+    enters once, from the first aggregation on; one shuffle moves (path, class, size, sketch). Verification shuffles the
+    sets of candidates only. Null texts and texts with fewer words aren't members; a null id is left out; rows delivered
+    again count once (texts of one id are taken to agree); an empty table gives no rows; other columns are ignored.
     """
-    spark = df.sparkSession
     id_type = df.schema[id_col].dataType.simpleString()
     texts = df.select(df[id_col].alias("id"), df[text_col].alias("text")).where("id is not null and text is not null")
     least = math.ceil(-math.log(1 - recall)) + 3
-    rows = df.count()
-    limit = bucket
-    frequent = frequent_shingles(texts, rows, k, min_words, limit)
-    while len(frequent) > 4_000_000:  # what is broadcast stays below 32 MB
-        limit *= 4
-        frequent = frequent_shingles(texts, rows, k, min_words, limit)
-    shared = spark.sparkContext.broadcast(Paths(recall, threshold, frequent, least=least))
+    most = max(least, runs_for(recall, deepest))
 
     def enter(batches):
-        paths = shared.value
+        first = roots(0, least)
         for b in batches:
             keep, classes, sizes, sketches, ways = [], [], [], [], []
             for r, t in enumerate(b.column(1).to_pylist()):
@@ -153,13 +126,34 @@ def near_duplicates(
                     classes.append(class_of(s))
                     sizes.append(len(s))
                     sketches.append(sketch(s))
-                    ways.append(paths.of(s))
+                    ways.append(children(first, s, threshold))
             both = np.array(sketches, np.uint64).reshape(-1, 2).view(_SIGNED)
             yield pa.record_batch(
                 [b.column(0).take(pa.array(keep, pa.int64())), longs(classes), pa.array(sizes, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), lists(ways)],
                 ["id", "class", "size", "s0", "s1", "paths"],
             )
 
+    def descend(batches):
+        """From (class, size, s0, s1, set, first, paths): the children of the paths, in the first descent also the first level of the further runs."""
+        further = roots(least, most)
+        for b in batches:
+            ways = []
+            for s, nodes, start in zip(_arrays(b.column(4)), _arrays(b.column(6)), b.column(5).to_pylist()):
+                s, nodes = s.view(np.uint64), nodes.view(np.uint64)
+                ways.append(children(np.concatenate([nodes, further]) if start else nodes, s, threshold))
+            yield pa.record_batch([*(b.column(i) for i in range(4)), lists(ways)], ["class", "size", "s0", "s1", "paths"])
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """(class, set) of the classes in ``wanted``, each read from its least text once."""
+        chosen = members.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("id").alias("id"))
+
+        def sets(batches):
+            for b in batches:
+                yield pa.record_batch([b.column(0), lists([shingle_set(t, k, min_words) for t in b.column(1).to_pylist()])], ["class", "set"])
+
+        one_text = texts.join(chosen, "id").groupBy("class").agg(F.min("text").alias("text"))
+        return one_text.mapInArrow(sets, "class bigint, set array<bigint>")
+
     entered = materialize(texts.mapInArrow(enter, f"id {id_type}, class bigint, size int, s0 bigint, s1 bigint, paths array<bigint>"), "paths")
     members = entered.select("id", "class").distinct()
     differ = int(_SKETCH_BITS * (1 - threshold) / 2 + 4.5 * math.sqrt(_SKETCH_BITS * (1 + threshold) * (1 - threshold)) / 2)
@@ -168,13 +162,13 @@ def near_duplicates(
         held: list[tuple] = []
 
         def within(parts):
-            path, cls, size, sk = (np.concatenate(x) for x in zip(*parts))
+            path, cls, size, part, sk = (np.concatenate(x) for x in zip(*parts))
             starts = np.flatnonzero(np.r_[True, path[1:] != path[:-1]])
             ends = np.r_[starts[1:], len(path)]
             a, b = [], []
             for i, j in zip(starts, ends):
                 if j - i > 1:
-                    for x, y in _pairs_in_bucket(cls[i:j], size[i:j], sk[i:j], threshold, differ):
+                    for x, y in _pairs_in_bucket(cls[i:j], size[i:j], sk[i:j], part[i:j], threshold, differ):
                         a.append(x)
                         b.append(y)
             a, b = (np.concatenate(x) if x else np.empty(0, _SIGNED) for x in (a, b))
@@ -186,7 +180,7 @@ def near_duplicates(
             if not len(path):
                 continue
             sk = np.stack([batch.column(3).to_numpy(), batch.column(4).to_numpy()], axis=1).view(np.uint64)
-            part = (path, batch.column(1).to_numpy(), batch.column(2).to_numpy(), sk)
+            part = (path, batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(5).to_numpy(), sk)
             last = int(np.searchsorted(path, path[-1]))  # the last bucket may go on in the next batch
             if last:
                 held.append(tuple(x[:last] for x in part))
@@ -196,21 +190,41 @@ def near_duplicates(
         if held:
             yield within(held)
 
+    def pairs_in(ways: DataFrame) -> DataFrame:
+        return ways.repartition("path").sortWithinPartitions("path").mapInArrow(compare, "a bigint, b bigint")
+
     once = entered.groupBy("class").agg(*[F.first(c).alias(c) for c in ("size", "s0", "s1", "paths")])
-    ways = once.select(F.explode("paths").alias("path"), "class", "size", "s0", "s1")
-    candidates = materialize(ways.repartition("path").sortWithinPartitions("path").mapInArrow(compare, "a bigint, b bigint").distinct(), "candidates")
+    level, depth, known, found = once, 1, None, []
+    while True:
+        ways = level.select(F.explode("paths").alias("path"), "class", "size", "s0", "s1")
+        crowded = materialize(ways.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > bucket), f"crowded-{depth}")
+        if crowded.isEmpty():
+            found.append(pairs_in(ways.withColumn("part", F.lit(-1))))
+            break
+        marked = ways.join(crowded, "path", "left")
+        small = marked.where("n is null").select("path", "class", "size", "s0", "s1", F.lit(-1).alias("part"))
+        if depth == deepest:
+            blocks = F.ceil(F.col("n") / bucket).cast("int")
+            own = F.pmod(F.xxhash64("class"), blocks).cast("int")
+            other = F.explode(F.sequence(F.lit(0), blocks - 1))
+            split = marked.where("n is not null").withColumn("own", own).select("*", other.alias("other"))
+            block = F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other"))
+            part = F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int"))
+            found.append(pairs_in(small.unionByName(split.select(block.alias("path"), "class", "size", "s0", "s1", part.alias("part")))))
+            break
+        found.append(pairs_in(small))
+        inside = marked.where("n is not null").groupBy("class").agg(F.first("size").alias("size"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.collect_list("path").alias("paths"))
+        inside = materialize(inside, f"inside-{depth}")
+        if known is None:
+            known = materialize(sets_of(inside.select("class")), "crowded-sets")
+        below = inside.join(known, "class").select("class", "size", "s0", "s1", "set", F.lit(depth == 1).alias("first"), "paths")
+        level = materialize(below.mapInArrow(descend, "class bigint, size int, s0 bigint, s1 bigint, paths array<bigint>"), f"paths-{depth + 1}")
+        depth += 1
+    candidates = materialize(reduce(DataFrame.unionByName, found).distinct(), "candidates")
 
     # verification on the full sets of the candidates' classes
-    wanted = candidates.select(F.col("a").alias("class")).union(candidates.select("b")).distinct()
-    chosen = members.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("id").alias("id"))
-
-    def sets(batches):
-        for b in batches:
-            yield pa.record_batch([b.column(0), lists([shingle_set(t, k, min_words) for t in b.column(1).to_pylist()])], ["class", "set"])
-
-    one_text = texts.join(chosen, "id").groupBy("class").agg(F.min("text").alias("text"))
-    known = materialize(one_text.mapInArrow(sets, "class bigint, set array<bigint>"), "sets")
-    joined = candidates.join(known.withColumnsRenamed({"class": "a", "set": "set_a"}), "a").join(known.withColumnsRenamed({"class": "b", "set": "set_b"}), "b")
+    full = materialize(sets_of(candidates.select(F.col("a").alias("class")).union(candidates.select("b")).distinct()), "sets")
+    joined = candidates.join(full.withColumnsRenamed({"class": "a", "set": "set_a"}), "a").join(full.withColumnsRenamed({"class": "b", "set": "set_b"}), "b")
 
     def verify(batches):
         for b in batches:
@@ -222,7 +236,7 @@ def near_duplicates(
             yield pa.record_batch([b.column(0), b.column(1), pa.array(similarity)], ["a", "b", "similarity"]).filter(pa.array(similarity >= threshold))
 
     links = materialize(joined.select("a", "b", "set_a", "set_b").mapInArrow(verify, "a bigint, b bigint, similarity double"), "links")
-    discard(candidates, known)
+    discard(candidates, full)
     return NearDuplicates(members, links)
 
 
@@ -242,13 +256,24 @@ def linked_pairs(found: NearDuplicates) -> DataFrame:
 
 
 def grouped(found: NearDuplicates) -> DataFrame:
-    """(id, class, links): each member once, the class of its text and how many members it is linked to.
+    """(id, class, group, links): each member once, the class of its text, the least id of all that links connect it with, and how many members it is linked to.
 
-    Copies aren't expanded: links are counted from class sizes.
+    Copies aren't expanded: links are counted from class sizes, groups are components of classes.
     """
-    sizes = found.members.groupBy("class").agg(F.count("*").alias("n"))
+    sizes = found.members.groupBy("class").agg(F.count("*").alias("n"), F.min("id").alias("head"))
     both = found.links.select("a", "b").union(found.links.select("b", "a"))
-    other = both.join(sizes.withColumnsRenamed({"class": "b"}), "b").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("others"))
-    return (
-        found.members.join(sizes, "class").join(other, "class", "left").select("id", "class", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
-    )
+    other = both.join(sizes.select(F.col("class").alias("b"), "n"), "b").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("others"))
+    component = connected_components(found.links).select(F.col("node").alias("class"), "root")
+    placed = sizes.join(component, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    heads = placed.groupBy("root").agg(F.min("head").alias("group"))
+    classes = placed.join(heads, "root").join(other, "class", "left")
+    return found.members.join(classes, "class").select("id", "class", "group", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+
+
+def group_report(members: DataFrame, df: DataFrame, id_col: str = "id", title_col: str = "title", wire_col: str = "is_wire_content") -> DataFrame:
+    """(group, articles, classes, titles, marked) of the groups of two or more, from ``grouped``: different texts, different titles (case and blanks aside, blank ones none) and how many are marked as wire copy (on any delivery)."""
+    title = F.nullif(F.lower(F.trim(df[title_col])), F.lit(""))
+    facts = df.select(df[id_col].alias("id"), F.xxhash64(title).alias("h"), title.isNotNull().alias("titled"), F.coalesce(df[wire_col], F.lit(False)).alias("wire"))
+    one = facts.groupBy("id").agg(F.min(F.when(F.col("titled"), F.col("h"))).alias("title"), F.bool_or("wire").alias("wire"))
+    rows = members.join(one, "id", "left").groupBy("group").agg(F.count("*").alias("articles"), F.count_distinct("class").alias("classes"), F.count_distinct("title").alias("titles"), F.count_if("wire").alias("marked"))
+    return rows.where("articles > 1")

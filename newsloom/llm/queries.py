@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from newsloom.llm.encode import encode_corpus
 from newsloom.llm.leaks import leaked_items
 from newsloom.llm.names import variant_groups, variant_pairs
-from newsloom.llm.neardup import grouped, linked_pairs, near_duplicates
+from newsloom.llm.neardup import group_report, grouped, linked_pairs, near_duplicates
 from newsloom.llm.overlap import cross_split_overlap, overlap_report, overlapping_pairs, record_overlaps
 from newsloom.llm.pieces import split_oversized
 from newsloom.llm.repeated import prefix_span, repeated_lines, without_repeated_lines
@@ -92,8 +92,14 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Each article long enough: the class of its text and its number of links."""
-    return grouped(near_duplicates(table(spark, d, "articles"))).withColumnRenamed("id", "article_id")
+    """Each article long enough: the class of its text, its group and its number of links."""
+    return grouped(near_duplicates(table(spark, d, "articles"))).select(F.col("id").alias("article_id"), "class", F.col("group").alias("group_id"), "links")
+
+
+def p7_group_report(spark: SparkSession, d: str) -> DataFrame:
+    """Of each group of reprints: articles, different texts and titles, and how many are marked as wire copy."""
+    articles = table(spark, d, "articles")
+    return group_report(grouped(near_duplicates(articles)), articles).withColumnRenamed("group", "group_id")
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -115,7 +121,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_clean_articles, p3_found, p3_report, p3_records, p4_found, p4_sequences, p4_texts, p5_found, p5_entities, p6_found, p6_rates, p6_limits, p7_found, p7_groups, p8_ids, p9_found, p9_leaks_by_item, p10_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_clean_articles, p3_found, p3_report, p3_records, p4_found, p4_sequences, p4_texts, p5_found, p5_entities, p6_found, p6_rates, p6_limits, p7_found, p7_groups, p7_group_report, p8_ids, p9_found, p9_leaks_by_item, p10_pieces)}
 
 
 _WORDS = "regexp_extract_all(lower({}), '[a-z0-9'']+')"

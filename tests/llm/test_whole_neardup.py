@@ -1,13 +1,26 @@
-"""The recall of the chosen paths where all shingles are frequent."""
+"""The recall of the chosen paths where all nodes are crowded, and crowded buckets as a whole."""
+
+import itertools
+import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+
+from newsloom.llm import neardup
+from newsloom.llm.neardup import children, roots, runs_for, survival
 
-from newsloom.llm.neardup import Paths, survival
+DEEPEST = 5
 
 
-def missed(paths, pairs):
-    return sum(not len(np.intersect1d(paths.of(a), paths.of(b))) for a, b in pairs)
+def met(a, b, runs):
+    x, y = roots(0, runs), roots(0, runs)
+    for _ in range(DEEPEST):
+        x, y = children(x, a, 0.7), children(y, b, 0.7)
+        x = y = np.intersect1d(x, y)
+        if not len(x):
+            return False
+    return True
 
 
 def made(rnd, inside, n=2000):
@@ -18,21 +31,40 @@ def made(rnd, inside, n=2000):
 
 
 @pytest.mark.parametrize("inside", [True, False])
-def test_pairs_of_frequent_shingles_meet(inside):
-    pairs = list(made(np.random.default_rng(3), inside))
-    every = np.unique(np.concatenate([x for p in pairs for x in p]))
-    # 2 are expected at the most; ten runs miss about 88 and 9 of them
-    assert missed(Paths(0.999, 0.7, every), pairs) <= 7
+def test_pairs_below_crowded_nodes_meet(inside):
+    # 2 are expected to be missed at the most; ten runs miss about 88 and 9 of them
+    assert sum(not met(a, b, runs_for(0.999, DEEPEST)) for a, b in made(np.random.default_rng(3), inside)) <= 7
+
+
+def test_runs():
+    assert [runs_for(0.999, d) for d in (1, 5)] == [7, 23]
+    assert abs(survival(5) - 0.268) < 0.001 and abs(survival(1) - 0.632) < 0.001
 
 
-def test_mixed_shingles_meet():
-    rnd = np.random.default_rng(4)
-    pairs = list(made(rnd, True))
-    common = np.unique(np.concatenate([np.intersect1d(a, b)[:40] for a, b in pairs]))
-    assert missed(Paths(0.999, 0.7, common), pairs) <= 7
+def word_runs(t, k=5):
+    w = t.split()
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
 
 
-def test_runs_follow_the_share():
-    p = Paths(0.999, 0.7, np.empty(0, np.uint64), least=10)
-    assert [p.runs(0.0), p.runs(0.35), p.runs(0.7), p.runs(1.0)] == [10, 10, 23, 23]
-    assert abs(survival(0.0, 5) - 0.268) < 0.001 and abs(survival(1.0, 5) - 0.632) < 0.001
+@pytest.mark.parametrize("deepest", [1, 2, 5])
+def test_crowded_buckets_keep_all_pairs(spark, deepest):
+    """150 near-copies of one text and 60 texts with a long notice in common, at most 8 to a bucket."""
+    rnd = random.Random(4)
+    base = [f"b{i}" for i in range(120)]
+    texts = {}
+    for i in range(150):
+        w = list(base)
+        for _ in range(rnd.randrange(4)):
+            w[rnd.randrange(120)] = f"x{rnd.randrange(9999)}"
+        texts[i] = " ".join(w)
+    notice = " ".join(f"n{i}" for i in range(60))
+    texts |= {200 + i: " ".join(f"u{i}x{j}" for j in range(60)) + " " + notice for i in range(60)}
+    found = neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "id long, content string"), bucket=8, deepest=deepest)
+    s = {i: word_runs(t) for i, t in texts.items()}
+    expected = {(i, j) for i, j in itertools.combinations(s, 2) if len(s[i] & s[j]) >= 0.7 * len(s[i] | s[j])}
+    got = {(r["a"], r["b"]) for r in neardup.linked_pairs(found).collect()}
+    assert not got - expected and len(got) >= 0.999 * len(expected) and len(expected) > 5000
+    groups = neardup.grouped(found)
+    assert {r["group"] for r in groups.where("id < 200").collect()} == {0}
+    df = spark.createDataFrame([(i, "Same" if i % 2 else " same ", i == 1) for i in texts] + [(0, "Same", None)], "id long, title string, is_wire_content boolean").withColumn("wire", F.lit(True))
+    assert [tuple(r)[:2] + tuple(r)[3:] for r in neardup.group_report(groups, df).collect()] == [(0, 150, 1, 1)]
