@@ -38,35 +38,10 @@ def lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def frequent_shingles(texts: DataFrame, rows: int, k: int, min_words: int, bound: int) -> np.ndarray:
-    """A superset of the shingles in more than ``bound`` of ``rows`` texts (column ``text``), by counts over all of them.
-
-    Each task counts per run of texts and keeps what has at least its share of the bound there; a shingle above the bound
-    overall is above it in some run. At most (shingles per text) * rows / bound come back.
-    """
-    share = bound / max(rows, 1)
-
-    def count(batches):
-        held, n = [], 0
-
-        def flush():
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            return pa.record_batch([pa.array(values[counts >= max(2.0, share * n)].view(np.int64))], ["shingle"])
-
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                s = shingle_set(t, k, min_words)
-                if s is not None:
-                    held.append(s)
-                    n += 1
-            if n >= 5000:
-                yield flush()
-                held, n = [], 0
-        if held:
-            yield flush()
-
-    found = texts.select("text").mapInArrow(count, "shingle bigint").distinct()
-    return np.sort(np.array([r[0] for r in found.collect()], np.int64).view(np.uint64))
+def arrays(column: pa.ListArray) -> list[np.ndarray]:
+    """The values of a list column without nulls, row by row."""
+    flat, offsets = column.values.to_numpy(), column.offsets.to_numpy()
+    return [flat[i:j] for i, j in zip(offsets, offsets[1:])]
 
 
 class SimilarTexts:
@@ -76,55 +51,45 @@ class SimilarTexts:
         self.members, self.links = members, links
 
 
-def similar_texts(df: DataFrame, group_col: str, id_col: str, text_col: str, threshold: float = 0.7, k: int = 5, frequent: int = 200) -> SimilarTexts:
+def similar_texts(df: DataFrame, group_col: str, id_col: str, text_col: str, threshold: float = 0.7, k: int = 5) -> SimilarTexts:
     """Pairs of texts of one group whose shingle sets have a Jaccard similarity of at least ``threshold``; exact.
 
-    Texts of a group with one set are a class. Of each set the first n - ceil(threshold * n) + 1 shingles are joined, in
-    an order that puts frequent shingles (in more than about ``frequent`` texts) last: two sets that are similar enough
-    share one of these. Pairs are verified on the full sets. Null groups, ids and texts and texts of fewer than ``k`` words
-    aren't members.
+    Texts of a group with one set are a class. Shingles are counted by group over all classes, on the map side first;
+    those of one class only can't be shared and go. A set of n shingles shares at least ceil(threshold * n) with a partner,
+    so of those it has left all but ceil(threshold * n) - 1, the rarest of the group first, are joined (prefix filter).
+    Pairs are verified on the shared shingles. The counts stay a table that is joined; nothing is
+    collected or broadcast but by Spark's own size-checked choice. Null groups, ids and texts and texts of fewer than
+    ``k`` words aren't members.
     """
     named = df.select(df[group_col].alias("grp"), df[id_col].alias("id"), df[text_col].alias("text")).where("grp is not null and id is not null and text is not null")
     types = {f.name: f.dataType.simpleString() for f in named.schema}
-    bound = frequent
-    often = frequent_shingles(named, named.count(), k, 0, bound)
-    while len(often) > 4_000_000:  # what is broadcast stays below 32 MB
-        bound *= 4
-        often = frequent_shingles(named, named.count(), k, 0, bound)
-    shared = df.sparkSession.sparkContext.broadcast(often)
 
     def enter(batches):
-        known = shared.value
         for b in batches:
-            keep, classes, sets, prefixes = [], [], [], []
+            keep, classes, sets = [], [], []
             for r, t in enumerate(b.column(2).to_pylist()):
                 s = shingle_set(t, k)
-                if s is None:
-                    continue
-                keep.append(r)
-                classes.append(class_of(s))
-                sets.append(s)
-                if len(known):
-                    at = np.searchsorted(known, s)
-                    at[at == len(known)] = 0
-                    common = known[at] == s
-                    order = np.concatenate([s[~common], s[common]])
-                else:
-                    order = s
-                prefixes.append(order[: len(s) - int(np.ceil(threshold * len(s) - 1e-9)) + 1])
+                if s is not None:
+                    keep.append(r)
+                    classes.append(class_of(s))
+                    sets.append(s)
             at = pa.array(keep, pa.int64())
-            yield pa.record_batch([b.column(0).take(at), b.column(1).take(at), longs(classes), lists(sets), lists(prefixes)], ["grp", "id", "class", "items", "prefix"])
+            yield pa.record_batch([b.column(0).take(at), b.column(1).take(at), longs(classes), lists(sets)], ["grp", "id", "class", "items"])
 
-    entered = materialize(named.mapInArrow(enter, f"grp {types['grp']}, id {types['id']}, class bigint, items array<bigint>, prefix array<bigint>"), "similar")
+    entered = materialize(named.mapInArrow(enter, f"grp {types['grp']}, id {types['id']}, class bigint, items array<bigint>"), "similar")
     members = entered.select("grp", "id", "class").distinct()
-    first = entered.groupBy("grp", "class").agg(F.first("items").alias("items"), F.first("prefix").alias("prefix"))
-    tokens = first.select("grp", "class", F.size("items").alias("n"), F.explode("prefix").alias("token"))
-    left, right = tokens.withColumnsRenamed({"class": "a", "n": "na"}), tokens.withColumnsRenamed({"class": "b", "n": "nb"})
+    first = entered.groupBy("grp", "class").agg(F.first("items").alias("items"))
+    tokens = first.select("grp", "class", F.size("items").alias("n"), F.explode("items").alias("token"))
+    counts = tokens.groupBy("grp", "token").agg(F.count("*").alias("texts")).where("texts > 1")
+    ranked = tokens.join(counts, ["grp", "token"]).groupBy("grp", "class").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("texts", "token"))).alias("shared"))
+    least = F.ceil(F.col("n") * threshold - 1e-9).cast("int")
+    able = materialize(ranked.where(F.size("shared") >= least).select("grp", "class", "n", F.col("shared.token").alias("shared")), "similar-shared")
+    prefix = able.select("grp", "class", "n", F.explode(F.slice("shared", F.lit(1), F.size("shared") - least + 1)).alias("token"))
+    left, right = prefix.withColumnsRenamed({"class": "a", "n": "na"}), prefix.withColumnsRenamed({"class": "b", "n": "nb"})
     pairs = left.join(right, ["grp", "token"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)).select("grp", "a", "b").distinct()
-    full = first.select("grp", "class", "items")
-    both = pairs.join(full.withColumnsRenamed({"class": "a", "items": "x"}), ["grp", "a"]).join(full.withColumnsRenamed({"class": "b", "items": "y"}), ["grp", "b"])
+    both = pairs.join(able.withColumnsRenamed({"class": "a", "n": "na", "shared": "x"}), ["grp", "a"]).join(able.withColumnsRenamed({"class": "b", "n": "nb", "shared": "y"}), ["grp", "b"])
     common = both.withColumn("common", F.size(F.array_intersect("x", "y")))
-    links = common.withColumn("similarity", F.col("common") / (F.size("x") + F.size("y") - F.col("common"))).where(F.col("similarity") >= threshold)
+    links = common.withColumn("similarity", F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).where(F.col("similarity") >= threshold)
     return SimilarTexts(members, materialize(links.select("grp", "a", "b", "similarity"), "similar-links"))
 
 
