@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.shingling import WordHash, hashed, shingles, words
-from newsloom.operators.similar import class_of, lists, longs
+from newsloom.functions.shingling import WordHash, hashed, mix, shingles, words
+from newsloom.operators.similar import arrays, class_of, lists, longs
 from newsloom.runtime import latest_rows, materialize
 
 _memo = WordHash()
@@ -28,6 +30,144 @@ def sides(df: DataFrame, id_col: str, split_col: str, text_col: str, order_col:
     return one.where("split is not null and text is not null").select("id", F.when(F.lower(F.trim("split")).startswith("train"), 0).otherwise(1).alias("side"), "text")
 
 
+def _word_arrays(column) -> list[np.ndarray]:
+    """The 32-bit words of a binary column of big-endian words."""
+    return [np.frombuffer(x, ">u4") for x in column.to_pylist()]
+
+
+def _runs(ws: np.ndarray, k: int) -> np.ndarray:
+    """The hash of the ``k`` words at each position."""
+    return shingles(mix(ws.astype(np.uint64)), k)
+
+
+def _suffixes(ws: np.ndarray, k: int, depth: int) -> np.ndarray:
+    """The first ``depth`` words of each suffix with ``k`` words or more, a row of ``depth`` words each; beyond the end stands 0."""
+    padded = np.concatenate([ws, np.zeros(depth, ">u4")])
+    return np.lib.stride_tricks.sliding_window_view(padded, depth)[: len(ws) - k + 1]
+
+
+def _keys(rows: np.ndarray) -> pa.Array:
+    """Rows of words as binary values, in whose order suffixes are sorted."""
+    raw = np.ascontiguousarray(rows, ">u4")
+    width = raw.shape[1] * 4
+    return pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(np.arange(0, (len(raw) + 1) * width, width, dtype=np.int32)), pa.py_buffer(raw)])
+
+
+def _common_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many words each row of ``a`` has in common with the row of ``b`` from the beginning; ends of text don't count."""
+    return np.logical_and.accumulate((a == b) & (a != 0), axis=1).sum(axis=1, dtype=np.int32)
+
+
+def _neighbours(keys: np.ndarray, sides: np.ndarray, before: dict[int, np.ndarray], behind: dict[int, np.ndarray]) -> np.ndarray:
+    """Of sorted suffixes the longest common prefix with the nearest suffix of the other side, above and below.
+
+    ``before`` and ``behind`` hold, by side, the last suffix above and the first one below these.
+    """
+    n = len(keys)
+    best, at = np.zeros(n, np.int32), np.arange(n)
+    for side in (0, 1):
+        mine, other = np.flatnonzero(sides == side), sides != side
+        above = np.maximum.accumulate(np.where(other, at, -1))[mine]
+        below = np.minimum.accumulate(np.where(other, at, n)[::-1])[::-1][mine]
+        for near, none, edge in ((above, -1, before.get(1 - side)), (below, n, behind.get(1 - side))):
+            inside = near != none
+            best[mine[inside]] = np.maximum(best[mine[inside]], _common_prefix(keys[mine[inside]], keys[near[inside]]))
+            if edge is not None and not inside.all():
+                out = mine[~inside]
+                best[out] = np.maximum(best[out], _common_prefix(keys[out], np.broadcast_to(edge, (len(out), keys.shape[1]))))
+    return best
+
+
+def shared_prefixes(texts: DataFrame, k: int, depth: int = 16, part_suffixes: int = 200_000) -> DataFrame:
+    """(class, side, pos, lcp) of every suffix that has at least ``k`` words in common with a suffix of the other side.
+
+    ``texts`` is (class, side, n, words). The suffix array of all texts together: a suffix is a position, its key the
+    first ``depth`` words. Bounds from a sample of keys cut the order into parts of about ``part_suffixes`` suffixes;
+    each is sorted in one task, equal suffixes of a side once (a task drops its own repeats before it sends them, so a
+    suffix that a third of all texts hold is a few rows). The ends of the parts - a row a part - show each part its
+    neighbours in the others. lcp is the longest common prefix with the nearest suffixes of the other side, up to ``depth``
+    words; what is longer goes on at the next position.
+    """
+    spark = texts.sparkSession
+    total = texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = max(1, -(-total // part_suffixes))
+
+    def keys(batches):
+        for b in batches:
+            rows = [_suffixes(ws, k, depth) for ws in _word_arrays(b.column(1))]
+            if rows:
+                sides = np.repeat(b.column(0).to_numpy(), [len(r) for r in rows]).astype(np.uint32)
+                unique = np.unique(np.column_stack([sides, np.concatenate(rows).astype(np.uint32)]), axis=0)
+                yield pa.record_batch([pa.array(unique[:, 0].astype(np.int32)), _keys(unique[:, 1:])], ["side", "key"])
+
+    emitted = texts.select("side", "words").mapInArrow(keys, "side int, key binary")
+    bounds: list[bytes] = []
+    if parts > 1:
+        sample = sorted(bytes(r[0]) for r in emitted.sample(min(1.0, 20 * parts / total), 7).select("key").collect())
+        bounds = sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
+    shared_bounds = spark.sparkContext.broadcast(bounds)
+
+    def place(batches):
+        cuts = shared_bounds.value
+        for b in batches:
+            yield pa.record_batch([pa.array([bisect_right(cuts, x) for x in b.column(1).to_pylist()], pa.int32()), b.column(0), b.column(1)], ["part", "side", "key"])
+
+    placed = emitted.mapInArrow(place, "part int, side int, key binary")
+    ends = placed.groupBy("part", "side").agg(F.min("key").alias("low"), F.max("key").alias("high")).collect() if bounds else []
+    before: dict[int, dict[int, bytes]] = {}
+    behind: dict[int, dict[int, bytes]] = {}
+    for side in (0, 1):
+        mine = sorted((r["part"], bytes(r["low"]), bytes(r["high"])) for r in ends if r["side"] == side)
+        for p in range(len(bounds) + 1):
+            lower, higher = [h for q, _, h in mine if q < p], [x for q, x, _ in mine if q > p]
+            if lower:
+                before.setdefault(p, {})[side] = lower[-1]
+            if higher:
+                behind.setdefault(p, {})[side] = higher[0]
+    edges = spark.sparkContext.broadcast((before, behind))
+
+    def measure(batches):
+        above, below = edges.value
+        held: list[pa.RecordBatch] = []
+
+        def done() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held)
+            raw = np.frombuffer(b"".join(whole["key"].to_pylist()), ">u4").reshape(-1, depth).astype(np.uint32)
+            unique = np.unique(np.column_stack([raw, whole["side"].to_numpy().astype(np.uint32)]), axis=0)
+            rows, sides = unique[:, :-1], unique[:, -1]
+            edge = lambda x: {s: np.frombuffer(v, ">u4").astype(np.uint32) for s, v in x.get(whole["part"][0].as_py(), {}).items()}
+            lcp = _neighbours(rows, sides, edge(above), edge(below))
+            keep = lcp >= k
+            return pa.record_batch([pa.array(sides[keep].astype(np.int32)), _keys(rows[keep]), pa.array(lcp[keep])], ["side", "key", "lcp"])
+
+        for b in batches:
+            while b.num_rows:
+                part = b.column(0).to_numpy()
+                first = int(np.searchsorted(part, part[0], "right"))
+                if held and held[0].column(0)[0].as_py() != part[0]:
+                    yield done()
+                    held.clear()
+                held.append(b.slice(0, first))
+                b = b.slice(first)
+        if held:
+            yield done()
+
+    ordered = placed.repartition("part").sortWithinPartitions("part")
+    found = ordered.mapInArrow(measure, "side int, key binary, lcp int").select("side", F.xxhash64("key").alias("h"), "lcp")
+
+    def positions(batches):
+        for b in batches:
+            rows = [_suffixes(ws, k, depth) for ws in _word_arrays(b.column(2))]
+            sizes = [len(r) for r in rows]
+            at = pa.array(np.repeat(np.arange(len(rows)), sizes))
+            pos = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]) if rows else np.empty(0, np.int32)
+            whole = np.concatenate(rows) if rows else np.empty((0, depth), np.uint32)
+            yield pa.record_batch([b.column(0).take(at), b.column(1).take(at), pa.array(pos), _keys(whole)], ["class", "side", "pos", "key"])
+
+    every = texts.select("class", "side", "words").mapInArrow(positions, "class bigint, side int, pos int, key binary")
+    return every.select("class", "side", "pos", F.xxhash64("key").alias("h")).join(found, ["side", "h"]).select("class", "side", "pos", "lcp")
+
+
 def cross_split_overlap(
     df: DataFrame,
     id_col: str = "id",
@@ -37,68 +177,84 @@ def cross_split_overlap(
     threshold: float = 0.8,
     k: int = 5,
     min_words: int = 20,
+    part_suffixes: int = 200_000,
 ) -> Overlap:
     """Pairs of a training and an evaluation record whose distinct runs of ``k`` words have a Jaccard similarity of ``threshold`` or more.
 
-    The suffix array: every word position of every distinct text is a suffix, partitioned and sorted by its first ``k``
-    words (as a 64-bit hash). Neighbours in that order with equal keys share a prefix of at least ``k`` words; a stretch
-    of them with suffixes from both sides is a shared span, and spans at successive positions of a text merge into longer
-    ones. A record can have a partner only if the spans cover at least ``threshold`` of its runs, so only such records
-    go on: of each the rarest covered runs that any partner must share (prefix filter) are joined across the sides, and
-    every pair is verified on all covered runs. Nothing is sampled or capped, the result is exact.
+    1. Texts with the same runs on one side are one class, so groups of copies enter once. Runs are counted by side, on
+       the map side first. A text less than ``threshold`` of whose runs occur on the other side can have no partner and
+       stays out of the array.
+    2. The suffixes of the others are sorted (``shared_prefixes``). Neighbours of different sides with a common prefix of
+       ``k`` words or more are shared spans; successive positions merge into longer ones, and all of a text into its
+       coverage. Only texts covered to ``threshold`` go on.
+    3. Of each the rarest covered runs that any partner must share (prefix filter) are joined across the sides, and every
+       pair is verified on all covered runs. Nothing is sampled or capped, the result is exact.
 
-    Texts with the same runs on one side are one class, so groups of copies enter once. Rows delivered again count once
-    (the latest by ``order_col``; ties agree). Null splits, ids and texts and texts of fewer than ``min_words`` words are
-    left out; an empty table gives no rows; other columns are ignored.
+    Rows delivered again count once (the latest by ``order_col``; ties agree). Null splits, ids and texts and texts of
+    fewer than ``min_words`` words are left out; an empty table gives no rows; other columns are ignored.
     """
     id_type = df.schema[id_col].dataType.simpleString()
 
     def enter(batches):
         for b in batches:
-            keep, classes, sizes, runs = [], [], [], []
+            keep, classes, sizes, texts = [], [], [], []
             for r, t in enumerate(b.column(2).to_pylist()):
                 ws = words(t)
                 if len(ws) >= max(min_words, k):
-                    s = shingles(hashed(ws, _memo), k)
-                    distinct = np.unique(s)
+                    own = ((hashed(ws, _memo) >> np.uint64(32)) | np.uint64(1)).astype(">u4")
+                    distinct = np.unique(_runs(own, k))
                     keep.append(r)
                     classes.append(class_of(distinct))
                     sizes.append(len(distinct))
-                    runs.append(s)
+                    texts.append(own.tobytes())
             at = pa.array(keep, pa.int64())
-            yield pa.record_batch([b.column(0).take(at), b.column(1).take(at), longs(classes), pa.array(sizes, pa.int32()), lists(runs)], ["id", "side", "class", "n", "runs"])
+            yield pa.record_batch([b.column(0).take(at), b.column(1).take(at), longs(classes), pa.array(sizes, pa.int32()), pa.array(texts, pa.binary())], ["id", "side", "class", "n", "words"])
 
-    entered = materialize(
-        sides(df, id_col, split_col, text_col, order_col).mapInArrow(enter, f"id {id_type}, side int, class bigint, n int, runs array<bigint>"), "suffixes"
-    )
+    entered = materialize(sides(df, id_col, split_col, text_col, order_col).mapInArrow(enter, f"id {id_type}, side int, class bigint, n int, words binary"), "records")
     members = entered.select("id", "side", "class")
-    texts = entered.groupBy("class", "side").agg(F.first("n").alias("n"), F.first("runs").alias("runs"))
-    suffixes = texts.select("class", "side", "n", F.posexplode("runs").alias("pos", "run"))
-    stretch = Window.partitionBy("run")
-    shared = suffixes.select("*", F.min("side").over(stretch).alias("low"), F.max("side").over(stretch).alias("high"), F.count("*").over(stretch).alias("width")).where("low < high")
-
-    # spans: successive covered positions of one text
-    rarest = F.array_sort(F.collect_set(F.struct("width", "run")))
-    per_text = shared.groupBy("class", "side").agg(F.first("n").alias("n"), F.array_sort(F.collect_set("pos")).alias("covered"), rarest.alias("runs"))
-    starts = F.filter(F.sequence(F.lit(0), F.size("covered") - 1), lambda i: (i == 0) | (F.element_at("covered", i + 1) != F.element_at("covered", F.greatest(i, F.lit(1))) + 1))
-    bounds = F.concat(starts, F.array(F.size("covered")))
-    lengths = F.zip_with(F.slice(bounds, 2, F.size(starts)), starts, lambda b, a: b - a)
+    texts = materialize(entered.groupBy("class", "side").agg(F.first("n").alias("n"), F.first("words").alias("words")), "texts")
+
+    def distinct_runs(batches):
+        for b in batches:
+            yield pa.record_batch([b.column(0), b.column(1), b.column(2), lists([np.unique(_runs(ws, k)) for ws in _word_arrays(b.column(3))])], ["class", "side", "n", "runs"])
+
+    runs = texts.mapInArrow(distinct_runs, "class bigint, side int, n int, runs array<bigint>").select("class", "side", "n", F.explode("runs").alias("run"))
+    evaluation = F.sum("side").alias("other")
+    both = runs.groupBy("run").agg(F.count("*").alias("all"), evaluation).where("other > 0 and other < all").select("run")
+    crossing = materialize(both, "crossing-runs")
+    least = F.ceil(F.col("n") * threshold - 1e-9).cast("int")
+    able = runs.join(crossing, "run").groupBy("class", "side").agg(F.first("n").alias("n"), F.count("*").alias("hits")).where(F.col("hits") >= least).select("class", "side")
+    kept = materialize(texts.join(able, ["class", "side"]), "able-texts")
+
+    spans = shared_prefixes(kept, k, part_suffixes=part_suffixes).groupBy("class", "side").agg(F.array_sort(F.collect_set("pos")).alias("covered"))
+
+    def covered_runs(batches):
+        for b in batches:
+            runs, counts, longest = [], [], []
+            for ws, at in zip(_word_arrays(b.column(3)), arrays(b.column(4))):
+                runs.append(np.unique(_runs(ws, k)[at]))
+                breaks = np.flatnonzero(np.diff(at) > 1)
+                ends = np.concatenate([[-1], breaks, [len(at) - 1]])
+                counts.append(len(breaks) + 1)
+                longest.append(int(np.diff(ends).max()) + k - 1)
+            yield pa.record_batch([b.column(0), b.column(1), b.column(2), lists(runs), pa.array(counts, pa.int32()), pa.array(longest, pa.int32())], ["class", "side", "n", "runs", "spans", "longest"])
+
+    with_spans = kept.join(spans, ["class", "side"]).select("class", "side", "n", "words", "covered")
     covered = materialize(
-        per_text.where(F.size("runs") >= F.ceil(F.col("n") * threshold - 1e-9)).select(
-            "class", "side", "n", "runs", F.size(starts).alias("spans"), (F.array_max(lengths) + k - 1).alias("longest")
-        ),
-        "covered",
+        with_spans.mapInArrow(covered_runs, "class bigint, side int, n int, runs array<bigint>, spans int, longest int").where(F.size("runs") >= least), "covered"
     )
-    must = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1 - (F.col("n") - F.size("runs"))
-    prefix = covered.select("class", "side", "n", F.explode(F.slice("runs", F.lit(1), F.greatest(must, F.lit(0)))).alias("r")).select("class", "side", "n", F.col("r.run").alias("run"))
+    tokens = covered.select("class", "side", "n", F.explode("runs").alias("run"))
+    ranked = tokens.join(tokens.groupBy("run").agg(F.count("*").alias("width")), "run").groupBy("class", "side").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("width", "run"))).alias("runs"))
+    must = F.col("n") - least + 1 - (F.col("n") - F.size("runs"))
+    prefix = ranked.select("class", "side", "n", F.explode(F.slice("runs", F.lit(1), F.greatest(must, F.lit(0)))).alias("r")).select("class", "side", "n", F.col("r.run").alias("run"))
     train = prefix.where("side = 0").select(F.col("class").alias("train"), F.col("n").alias("n_train"), "run")
     other = prefix.where("side = 1").select(F.col("class").alias("eval"), F.col("n").alias("n_eval"), "run")
     candidates = train.join(other, "run").where(F.least("n_train", "n_eval") >= threshold * F.greatest("n_train", "n_eval") - 1e-9).select("train", "eval").distinct()
-    full = covered.select("class", "side", "n", F.col("runs.run").alias("runs"))
-    both = candidates.join(full.where("side = 0").select(F.col("class").alias("train"), F.col("n").alias("n_train"), F.col("runs").alias("x")), "train").join(
+    full = covered.select("class", "side", "n", "runs")
+    pairs = candidates.join(full.where("side = 0").select(F.col("class").alias("train"), F.col("n").alias("n_train"), F.col("runs").alias("x")), "train").join(
         full.where("side = 1").select(F.col("class").alias("eval"), F.col("n").alias("n_eval"), F.col("runs").alias("y")), "eval"
     )
-    common = both.withColumn("common", F.size(F.array_intersect("x", "y")))
+    common = pairs.withColumn("common", F.size(F.array_intersect("x", "y")))
     links = materialize(
         common.withColumn("similarity", F.col("common") / (F.col("n_train") + F.col("n_eval") - F.col("common"))).where(F.col("similarity") >= threshold).select("train", "eval", "similarity"), "links"
     )
