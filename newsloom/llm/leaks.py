@@ -2,60 +2,35 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.shingling import WORDS_PLAIN, WordHash, hashed, shingles, words
+from newsloom.operators.similar import lists, longs
+from newsloom.runtime import materialize
 
 _memo = WordHash()
+#: Bits of the filter that every executor holds: 16 MB, whatever the number of items.
+FILTER_BITS = 27
 
 
-class Windows:
-    """The item-sized windows of a block of items, each under the rarest of its shingles.
-
-    A document that contains a window contains all its shingles, so of the rarity-ordered shingles of a window a prefix
-    of one is enough: only documents with that shingle can match.
-    """
-
-    def __init__(self, items: list[tuple[object, str | None]], run: int, k: int):
-        self.run, self.k = run, k
-        self.items = []
-        for item_id, text in items:
-            ws = words(text or "", WORDS_PLAIN)
-            if len(ws) >= run and item_id is not None:
-                self.items.append((item_id, ws, shingles(hashed(ws, _memo), k)))
-        self.vocabulary = np.unique(np.concatenate([x[2] for x in self.items])) if self.items else np.empty(0, np.uint64)
-
-    def order(self, frequency: dict[int, int]) -> None:
-        """Puts every window under its rarest shingle; ties take the smaller hash."""
-        per = self.run - self.k + 1
-        self.under: dict[int, list[tuple[int, int, tuple[bytes, ...]]]] = defaultdict(list)
-        for n, (_, ws, sh) in enumerate(self.items):
-            for i in range(len(ws) - self.run + 1):
-                at = min(range(i, i + per), key=lambda j: (frequency.get(int(sh[j]), 0), int(sh[j])))
-                self.under[int(sh[at])].append((n, at - i, tuple(ws[i : i + self.run])))
-        self.prefix = np.sort(np.fromiter(self.under, np.uint64, len(self.under)))
+def _hashes(text: str | None, run: int, k: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The ``k``-word shingles of a text and the digests of its windows of ``run`` words; None if it has no window."""
+    ws = words(text or "", WORDS_PLAIN)
+    if len(ws) < run:
+        return None
+    h = hashed(ws, _memo)
+    return shingles(h, k), shingles(h, run) | np.uint64(1)
 
-    def found(self, ws: list[bytes], sh: np.ndarray) -> set[int]:
-        hits: set[int] = set()
-        for p in np.flatnonzero(_among(sh, self.prefix)):
-            for n, offset, window in self.under[int(sh[p])]:
-                start = int(p) - offset  # positional bound, then the length bound, then the words themselves
-                if n not in hits and 0 <= start <= len(ws) - self.run and tuple(ws[start : start + self.run]) == window:
-                    hits.add(n)
-        return hits
 
-
-def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    if not len(ordered):
-        return np.zeros(len(x), bool)
-    at = np.searchsorted(ordered, x)
-    at[at == len(ordered)] = 0
-    return ordered[at] == x
+def _around(starts: np.ndarray, per: int, most: int) -> np.ndarray:
+    """All positions of shingles inside the windows that begin at ``starts``."""
+    inside = np.zeros(most + 1, np.int32)
+    np.add.at(inside, starts, 1)
+    np.add.at(inside, starts + per, -1)
+    return np.flatnonzero(np.cumsum(inside)[:most])
 
 
 def leaked_items(
@@ -67,61 +42,78 @@ def leaked_items(
     item_text_col: str = "item_text",
     run: int = 12,
     k: int = 5,
-    block_chars: int = 4_000_000,
+    filter_bits: int = FILTER_BITS,
 ) -> DataFrame:
     """(id_col, item_id_col), once each, of documents with at least ``run`` consecutive words of an item.
 
-    Words are lower-case runs of ASCII letters and digits. The items are taken in blocks of at most about
-    ``block_chars`` characters (a checked bound on what is broadcast; the held-out material is one block here), each
-    block against all documents: one pass counts the items' shingles over the whole corpus for the rarity order, one
-    joins. Both are map-only but for the counts and the distinct pairs; no document is ever shuffled.
+    Words are lower-case runs of ASCII letters and digits. Every ``run``-word window of an item is a set of ``run - k + 1``
+    shingles; a document that contains the window contains them all, in place.
+    1. Items become rows of windows; their shingles set bits of a filter of fixed size (2^filter_bits), the only thing
+       that is broadcast. A full filter lets more through and loses nothing.
+    2. The corpus is read once: a window of a document goes on if all its shingles pass the filter. Of these windows the
+       shingles come out with their position and the digests of the windows around them.
+    3. Shingles are ordered by rarity, counted over all that came out; of each item window the rarest is its prefix, since
+       one shared token is necessary and enough to meet. Prefixes are joined with the documents' shingles; the positional
+       and length bounds place the window, and its digest must agree (64 bits beside the 64 of the shingle).
+    Items and documents are both distributed; no document text is shuffled, and only bits of the filter reach the driver.
     Null or short texts on either side match nothing, null ids are left out, repeated rows count once, extra columns
     are ignored.
     """
     if run < k:
         raise ValueError("a run must hold at least one shingle")
+    per, shift = run - k + 1, 64 - filter_bits
     spark = documents.sparkSession
     texts = documents.select(documents[id_col].alias("id"), documents[text_col].alias("text")).where("id is not null and text is not null")
     own = items.select(items[item_id_col].alias("item"), items[item_text_col].alias("item_text")).where("item is not null and item_text is not null")
-    size = own.agg(F.coalesce(F.sum(F.length("item_text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_chars))
     id_type, item_type = texts.schema["id"].dataType.simpleString(), own.schema["item"].dataType.simpleString()
-    item_arrow = pa.int64() if item_type == "bigint" else pa.int32() if item_type == "int" else pa.string()
-    out = None
-    for n in range(blocks):
-        block = own if blocks == 1 else own.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == n)
-        windows = Windows([tuple(r) for r in block.collect()], run, k)
-        vocabulary = spark.sparkContext.broadcast(windows.vocabulary)
-
-        def count(batches, vocabulary=vocabulary):
-            known = vocabulary.value
-            total = np.zeros(len(known), np.int64)
-            for b in batches:
-                hits = []
-                for t in b.column(0).to_pylist():
-                    sh = np.unique(shingles(hashed(words(t, WORDS_PLAIN), _memo), k))
-                    hits.append(sh[_among(sh, known)])
-                if hits and len(known):
-                    total += np.bincount(np.searchsorted(known, np.concatenate(hits)), minlength=len(known))
-            at = np.flatnonzero(total)
-            yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["at", "n"])
-
-        counted = texts.select("text").mapInArrow(count, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect()
-        windows.order({int(windows.vocabulary[r["at"]]): r["n"] for r in counted})
-        shared = spark.sparkContext.broadcast(windows)
-
-        def join(batches, shared=shared):
-            w = shared.value
-            for b in batches:
-                rows, found = [], []
-                for r, t in enumerate(b.column(1).to_pylist()):
-                    ws = words(t, WORDS_PLAIN)
-                    if len(ws) >= run:
-                        hits = w.found(ws, shingles(hashed(ws, _memo), k))
-                        rows += [r] * len(hits)
-                        found += [w.items[h][0] for h in hits]
-                yield pa.record_batch([b.column(0).take(pa.array(rows, pa.int64())), pa.array(found, item_arrow)], ["id", "item"])
 
-        part = texts.mapInArrow(join, f"id {id_type}, item {item_type}")
-        out = part if out is None else out.unionByName(part)
-    return out.distinct().withColumnsRenamed({"id": id_col, "item": item_id_col})
+    def windows(batches):
+        for b in batches:
+            rows, digests, sets = [], [], []
+            for r, t in enumerate(b.column(1).to_pylist()):
+                both = _hashes(t, run, k)
+                if both:
+                    sh, dg = both
+                    rows += [r] * len(dg)
+                    digests.append(dg)
+                    sets += list(np.lib.stride_tricks.sliding_window_view(sh, per))
+            flat = np.concatenate(digests) if digests else np.empty(0, np.uint64)
+            yield pa.record_batch([b.column(0).take(pa.array(rows, pa.int64())), longs(flat), lists(sets)], ["item", "digest", "shingles"])
+
+    wanted = materialize(own.mapInArrow(windows, f"item {item_type}, digest bigint, shingles array<bigint>").distinct(), "item-windows")
+    slot = F.explode(F.transform("shingles", lambda x: F.shiftrightunsigned(x, shift)))
+    bits = wanted.select(slot.alias("slot")).groupBy((F.col("slot") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).toArrow()
+    filled = np.zeros(1 << max(filter_bits - 6, 0), np.uint64)
+    filled[bits["word"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
+    shared = spark.sparkContext.broadcast(filled)
+
+    def probe(batches):
+        known = shared.value
+        for b in batches:
+            rows, tokens, around = [], [], []
+            for r, t in enumerate(b.column(1).to_pylist()):
+                both = _hashes(t, run, k)
+                if not both:
+                    continue
+                sh, dg = both
+                at = sh >> np.uint64(shift)
+                passed = np.concatenate([[0], np.cumsum((known[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))])
+                whole = passed[per:] - passed[:-per] == per
+                if not whole.any():
+                    continue
+                places = _around(np.flatnonzero(whole), per, len(sh))
+                starts = places[:, None] - np.arange(per)[None, :]
+                valid = (starts >= 0) & (starts < len(dg))
+                starts[~valid] = 0
+                rows += [r] * len(places)
+                tokens.append(sh[places])
+                around += list(np.where(valid & whole[starts], dg[starts], np.uint64(0)))
+            flat = np.concatenate(tokens) if tokens else np.empty(0, np.uint64)
+            yield pa.record_batch([b.column(0).take(pa.array(rows, pa.int64())), longs(flat), lists(around)], ["id", "shingle", "digests"])
+
+    probes = materialize(texts.mapInArrow(probe, f"id {id_type}, shingle bigint, digests array<bigint>"), "probes")
+    rarity = probes.groupBy("shingle").agg(F.count("*").alias("n"))
+    tokens = wanted.select("item", "digest", F.posexplode("shingles").alias("offset", "shingle")).join(rarity, "shingle")
+    prefix = tokens.groupBy("item", "digest").agg(F.min(F.struct("n", "shingle", "offset")).alias("p")).select("item", "digest", "p.shingle", "p.offset")
+    met = probes.join(prefix, "shingle").where(F.get("digests", F.col("offset")) == F.col("digest"))
+    return met.select("id", "item").distinct().withColumnsRenamed({"id": id_col, "item": item_id_col})
