@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.shingling import mix
 from newsloom.operators.components import connected_components
-from newsloom.operators.similar import class_of, lists, longs, shingle_set
+from newsloom.operators.similar import arrays, class_of, lists, longs, shingle_set
 from newsloom.runtime import discard, materialize
 
 _SIGNED = np.int64
@@ -58,6 +58,14 @@ def children(nodes: np.ndarray, s: np.ndarray, threshold: float) -> np.ndarray:
     return np.unique(below[mix(below) < limit])
 
 
+def halves(sets: list[np.ndarray]) -> pa.Array:
+    """The upper halves of the tokens of sorted sets, each once."""
+    own = [np.unique((s >> np.uint64(32)).astype(np.uint32)) for s in sets]
+    offsets = np.zeros(len(own) + 1, np.int32)
+    np.cumsum([len(x) for x in own], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(own).view(np.int32) if own else np.empty(0, np.int32)))
+
+
 class NearDuplicates:
     """members: (id, class), one row per text long enough; links: (a, b, similarity) between classes, a < b."""
 
@@ -90,7 +98,7 @@ def near_duplicates(
     min_words: int = 50,
     recall: float = 0.999,
     bucket: int = 2000,
-    deepest: int = 5,
+    deepest: int = 3,
 ) -> NearDuplicates:
     """All pairs of texts whose shingle sets have a Jaccard similarity of at least ``threshold``, as classes and links.
 
@@ -105,9 +113,10 @@ def near_duplicates(
     whose pairs are compared in tasks of their own, so no bucket of a task exceeds twice ``bucket``.
 
     No count or token reaches the driver but whether a level has crowded nodes. Buckets are compared by 128-bit sketches,
-    far below the threshold in what they reject, and every pair that is left is verified on the full sets. Each class
-    enters once, from the first aggregation on; one shuffle moves (path, class, size, sketch). Verification shuffles the
-    sets of candidates only. Null texts and texts with fewer words aren't members; a null id is left out; rows delivered
+    far below the threshold in what they reject, and every pair that is left is verified on its sets: by the upper halves
+    of the tokens, and by whole tokens where a few tokens more or less would change the verdict. Each class enters once,
+    from the first aggregation on; one shuffle moves (path, class, size, sketch). Sets are made and shuffled of candidates
+    and of classes below crowded nodes only, half tokens of them. Null texts and texts with fewer words aren't members; a null id is left out; rows delivered
     again count once (texts of one id are taken to agree); an empty table gives no rows; other columns are ignored.
     """
     id_type = df.schema[id_col].dataType.simpleString()
@@ -138,21 +147,21 @@ def near_duplicates(
         further = roots(least, most)
         for b in batches:
             ways = []
-            for s, nodes, start in zip(_arrays(b.column(4)), _arrays(b.column(6)), b.column(5).to_pylist()):
-                s, nodes = s.view(np.uint64), nodes.view(np.uint64)
+            for s, nodes, start in zip(arrays(b.column(4)), arrays(b.column(6)), b.column(5).to_pylist()):
+                s, nodes = s.view(np.uint32).astype(np.uint64), nodes.view(np.uint64)
                 ways.append(children(np.concatenate([nodes, further]) if start else nodes, s, threshold))
             yield pa.record_batch([*(b.column(i) for i in range(4)), lists(ways)], ["class", "size", "s0", "s1", "paths"])
 
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        """(class, set) of the classes in ``wanted``, each read from its least text once."""
-        chosen = members.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("id").alias("id"))
+    def sets_of(wanted: DataFrame, half: bool) -> DataFrame:
+        """(class, set) of the classes in ``wanted``, read from the least text of each (more than once if that was delivered again); ``half`` gives the upper halves of tokens."""
+        chosen = materialize(members.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("id").alias("id")), "chosen")
 
         def sets(batches):
             for b in batches:
-                yield pa.record_batch([b.column(0), lists([shingle_set(t, k, min_words) for t in b.column(1).to_pylist()])], ["class", "set"])
+                own = [shingle_set(t, k, min_words) for t in b.column(1).to_pylist()]
+                yield pa.record_batch([b.column(0), halves(own) if half else lists(own)], ["class", "set"])
 
-        one_text = texts.join(chosen, "id").groupBy("class").agg(F.min("text").alias("text"))
-        return one_text.mapInArrow(sets, "class bigint, set array<bigint>")
+        return texts.join(chosen, "id").select("class", "text").mapInArrow(sets, f"class bigint, set array<{'int' if half else 'bigint'}>")
 
     entered = materialize(texts.mapInArrow(enter, f"id {id_type}, class bigint, size int, s0 bigint, s1 bigint, paths array<bigint>"), "paths")
     members = entered.select("id", "class").distinct()
@@ -216,35 +225,34 @@ def near_duplicates(
         inside = marked.where("n is not null").groupBy("class").agg(F.first("size").alias("size"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.collect_list("path").alias("paths"))
         inside = materialize(inside, f"inside-{depth}")
         if known is None:
-            known = materialize(sets_of(inside.select("class")), "crowded-sets")
+            known = materialize(sets_of(inside.select("class"), True), "crowded-sets")
         below = inside.join(known, "class").select("class", "size", "s0", "s1", "set", F.lit(depth == 1).alias("first"), "paths")
         level = materialize(below.mapInArrow(descend, "class bigint, size int, s0 bigint, s1 bigint, paths array<bigint>"), f"paths-{depth + 1}")
         depth += 1
     candidates = materialize(reduce(DataFrame.unionByName, found).distinct(), "candidates")
 
-    # verification on the full sets of the candidates' classes
-    full = materialize(sets_of(candidates.select(F.col("a").alias("class")).union(candidates.select("b")).distinct()), "sets")
-    joined = candidates.join(full.withColumnsRenamed({"class": "a", "set": "set_a"}), "a").join(full.withColumnsRenamed({"class": "b", "set": "set_b"}), "b")
+    # verification on the sets of the candidates' classes
+    def with_sets(pairs: DataFrame, half: bool) -> DataFrame:
+        own = materialize(sets_of(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), half), "sets")
+        return pairs.join(own.withColumnsRenamed({"class": "a", "set": "set_a"}), "a").join(own.withColumnsRenamed({"class": "b", "set": "set_b"}), "b").select("a", "b", "set_a", "set_b")
 
     def verify(batches):
         for b in batches:
-            similarity = []
-            for x, y in zip(_arrays(b.column(2)), _arrays(b.column(3))):
+            similarity, spare = [], []
+            for x, y in zip(arrays(b.column(2)), arrays(b.column(3))):
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 similarity.append(common / (len(x) + len(y) - common))
-            similarity = np.array(similarity)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(similarity)], ["a", "b", "similarity"]).filter(pa.array(similarity >= threshold))
-
-    links = materialize(joined.select("a", "b", "set_a", "set_b").mapInArrow(verify, "a bigint, b bigint, similarity double"), "links")
-    discard(candidates, full)
+                spare.append(common - threshold * (len(x) + len(y)) / (1 + threshold))
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(similarity, pa.float64()), pa.array(spare, pa.float64())], ["a", "b", "similarity", "spare"])
+
+    verdict = "a bigint, b bigint, similarity double, spare double"
+    by_halves = materialize(with_sets(candidates, True).mapInArrow(verify, verdict).where("spare >= -4").distinct(), "half-verified")
+    closely = with_sets(by_halves.where("spare < 4").select("a", "b"), False).mapInArrow(verify, verdict).where(F.col("similarity") >= threshold)
+    links = materialize(by_halves.where("spare >= 4").unionByName(closely).select("a", "b", "similarity").dropDuplicates(["a", "b"]), "links")
+    discard(candidates, by_halves)
     return NearDuplicates(members, links)
 
 
-def _arrays(column) -> list[np.ndarray]:
-    flat, offsets = column.values.to_numpy(), column.offsets.to_numpy()
-    return [flat[i:j] for i, j in zip(offsets, offsets[1:])]
-
-
 def linked_pairs(found: NearDuplicates) -> DataFrame:
     """(a, b) of ids, a < b: pairs of one class and pairs of linked classes."""
     m = found.members

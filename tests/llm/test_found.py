@@ -87,13 +87,13 @@ def test_residue_subtracts_recurrent_lines(spark):
 # ---- 3 ----------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_cross_split(spark, seed):
+@pytest.mark.parametrize(("seed", "part"), [(3, 200_000), (4, 200), (5, 37)])
+def test_cross_split(spark, seed, part):
     texts = family_of_texts(seed, 50, 60)
     splits = ["train", " TRAIN_v2 ", "test", "valid", None, ""]
     data = [(i, splits[i % 6], t, 1) for i, t in texts.items()] + [(900, "train", None, 1), (901, "test", "too short for it", 1), (902, "test", "", 1), (0, "test", "superseded text", 0)]
     df = spark.createDataFrame(data, "id long, split string, primary_text string, created_at long").withColumn("run", F.lit(1)).withColumn("class", F.lit(1))
-    found = overlap.cross_split_overlap(df)
+    found = overlap.cross_split_overlap(df, part_suffixes=part)
     got = {(r["a"], r["b"]) for r in overlap.overlapping_pairs(found).collect()}
     side = {i: (splits[i % 6] or "").strip().lower().startswith("train") for i in texts if splits[i % 6] is not None}
     s = {i: run_set(t) for i, t in texts.items()}
@@ -110,6 +110,26 @@ def test_cross_split(spark, seed):
     assert report.agg(F.sum("pairs")).first()[0] == len(expected)
 
 
+@pytest.mark.parametrize("part", [10_000, 50, 7])
+def test_suffix_neighbours(spark, part):
+    """Every suffix with a partner on the other side is found with its longest common prefix, wherever the parts are cut."""
+    import numpy as np
+
+    rnd = np.random.default_rng(part)
+    texts = {(c, c % 2): rnd.integers(1, 4, rnd.integers(6, 30)).astype(">u4") for c in range(14)}
+    df = spark.createDataFrame([(c, s, len(w), w.tobytes()) for (c, s), w in texts.items()], "class long, side int, n int, words binary")
+    got = {(r["class"], r["pos"]): r["lcp"] for r in overlap.shared_prefixes(df, 5, 8, part).collect()}
+
+    def common(a, b):
+        n = 0
+        while n < min(len(a), len(b), 8) and a[n] == b[n]:
+            n += 1
+        return n
+
+    best = {(c, i): max(common(w[i:], v[j:]) for (_, t), v in texts.items() if t != s for j in range(len(v) - 4)) for (c, s), w in texts.items() for i in range(len(w) - 4)}
+    assert got == {at: n for at, n in best.items() if n >= 5} and got
+
+
 def test_cross_split_empty(spark):
     df = spark.createDataFrame([], "id long, split string, primary_text string, created_at long")
     assert overlap.overlapping_pairs(overlap.cross_split_overlap(df)).count() == 0
@@ -242,8 +262,8 @@ def test_near_duplicates(spark):
 # ---- 9 ----------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("block", [4_000_000, 300])
-def test_leaks(spark, block):
+@pytest.mark.parametrize("bits", [27, 7])
+def test_leaks(spark, bits):
     rnd = random.Random(2)
     item = {i: " ".join(f"w{rnd.randrange(60)}" for _ in range(30)) for i in range(8)} | {8: "too short", 9: None}
     docs = {}
@@ -254,7 +274,7 @@ def test_leaks(spark, block):
     docs |= {100: None, 101: "", 102: item[0]}
     df = spark.createDataFrame(list(docs.items()) + [(102, item[0]), (None, item[0])], "doc_id long, text string").withColumn("item_id", F.lit(1))
     it = spark.createDataFrame(list(item.items()), "item_id long, item_text string")
-    got = {(r["doc_id"], r["item_id"]) for r in leaks.leaked_items(df, it, block_chars=block).collect()}
+    got = {(r["doc_id"], r["item_id"]) for r in leaks.leaked_items(df, it, filter_bits=bits).collect()}
     grams = lambda t: {tuple(w[j : j + 12]) for w in [re.findall("[a-z0-9]+", (t or "").lower())] for j in range(len(w) - 11)}
     expected = {(d, i) for d, t in docs.items() for i, x in item.items() if grams(t) & grams(x)}
     assert got == expected and expected
