@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +80,28 @@ def discard(*tables: DataFrame) -> None:
             _remove(path)
 
 
+class BitFilter:
+    """A filter of fixed size over 64-bit hashes: what was put in passes, most else doesn't.
+
+    Its 2^bits bits are all that is broadcast, whatever the number of hashes; a fuller filter lets more through and loses
+    nothing, so callers check what passes by a join or by value.
+    """
+
+    def __init__(self, hashes: DataFrame, bits: int):
+        """``hashes`` has one bigint column. Bits are set in words of 64 on the map side; only words reach the driver."""
+        self.shift = 64 - bits
+        (name,) = hashes.columns
+        slots = hashes.select(F.shiftrightunsigned(name, self.shift).alias("slot"))
+        words = slots.groupBy((F.col("slot") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).toArrow()
+        filled = np.zeros(1 << max(bits - 6, 0), np.uint64)
+        filled[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+        self._shared = hashes.sparkSession.sparkContext.broadcast(filled)
+
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes.view(np.uint64) >> np.uint64(self.shift)
+        return ((self._shared.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables under ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
