@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.shingling import WORDS_PLAIN, WordHash, hashed, shingles, words
 from newsloom.operators.similar import lists, longs
-from newsloom.runtime import materialize
+from newsloom.runtime import BitFilter, materialize
 
 _memo = WordHash()
 #: Bits of the filter that every executor holds: 16 MB, whatever the number of items.
@@ -61,8 +61,7 @@ def leaked_items(
     """
     if run < k:
         raise ValueError("a run must hold at least one shingle")
-    per, shift = run - k + 1, 64 - filter_bits
-    spark = documents.sparkSession
+    per = run - k + 1
     texts = documents.select(documents[id_col].alias("id"), documents[text_col].alias("text")).where("id is not null and text is not null")
     own = items.select(items[item_id_col].alias("item"), items[item_text_col].alias("item_text")).where("item is not null and item_text is not null")
     id_type, item_type = texts.schema["id"].dataType.simpleString(), own.schema["item"].dataType.simpleString()
@@ -81,14 +80,9 @@ def leaked_items(
             yield pa.record_batch([b.column(0).take(pa.array(rows, pa.int64())), longs(flat), lists(sets)], ["item", "digest", "shingles"])
 
     wanted = materialize(own.mapInArrow(windows, f"item {item_type}, digest bigint, shingles array<bigint>").distinct(), "item-windows")
-    slot = F.explode(F.transform("shingles", lambda x: F.shiftrightunsigned(x, shift)))
-    bits = wanted.select(slot.alias("slot")).groupBy((F.col("slot") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).toArrow()
-    filled = np.zeros(1 << max(filter_bits - 6, 0), np.uint64)
-    filled[bits["word"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
-    shared = spark.sparkContext.broadcast(filled)
+    known = BitFilter(wanted.select(F.explode("shingles").alias("shingle")), filter_bits)
 
     def probe(batches):
-        known = shared.value
         for b in batches:
             rows, tokens, around = [], [], []
             for r, t in enumerate(b.column(1).to_pylist()):
@@ -96,8 +90,7 @@ def leaked_items(
                 if not both:
                     continue
                 sh, dg = both
-                at = sh >> np.uint64(shift)
-                passed = np.concatenate([[0], np.cumsum((known[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))])
+                passed = np.concatenate([[0], np.cumsum(known.passes(sh))])
                 whole = passed[per:] - passed[:-per] == per
                 if not whole.any():
                     continue

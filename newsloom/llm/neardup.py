@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from newsloom.functions.shingling import mix
 from newsloom.operators.components import connected_components
 from newsloom.operators.similar import arrays, class_of, lists, longs, shingle_set
-from newsloom.runtime import discard, materialize
+from newsloom.runtime import BitFilter, discard, materialize
 
 _SIGNED = np.int64
 _SKETCH_BITS = 128
+#: Bits of the filter of ids whose sets are wanted: 8 MB, whatever their number.
+FILTER_BITS = 26
 _rng = np.random.default_rng(20240501)
 _MULTIPLIERS = (_rng.integers(0, 1 << 32, _SKETCH_BITS, dtype=np.uint32) | np.uint32(1))[:, None]
 _ADDENDS = _rng.integers(0, 1 << 32, _SKETCH_BITS, dtype=np.uint32)[:, None]
@@ -153,15 +155,20 @@ def near_duplicates(
             yield pa.record_batch([*(b.column(i) for i in range(4)), lists(ways)], ["class", "size", "s0", "s1", "paths"])
 
     def sets_of(wanted: DataFrame, half: bool) -> DataFrame:
-        """(class, set) of the classes in ``wanted``, read from the least text of each (more than once if that was delivered again); ``half`` gives the upper halves of tokens."""
-        chosen = materialize(members.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("id").alias("id")), "chosen")
+        """(class, set) of at least the classes in ``wanted``, from the least text of each; ``half`` gives the upper halves of tokens.
+
+        The texts pass a filter of the wanted ids on their way into the shingling, so none is shuffled; a class comes out
+        more than once if its text was delivered again.
+        """
+        ids = BitFilter(members.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("id").alias("id")).select(F.xxhash64("id").alias("h")), FILTER_BITS)
 
         def sets(batches):
             for b in batches:
-                own = [shingle_set(t, k, min_words) for t in b.column(1).to_pylist()]
-                yield pa.record_batch([b.column(0), halves(own) if half else lists(own)], ["class", "set"])
+                rows = b.filter(pa.array(ids.passes(b.column(0).to_numpy())))
+                own = [s for s in (shingle_set(t, k, min_words) for t in rows.column(1).to_pylist()) if s is not None]
+                yield pa.record_batch([longs([class_of(s) for s in own]), halves(own) if half else lists(own)], ["class", "set"])
 
-        return texts.join(chosen, "id").select("class", "text").mapInArrow(sets, f"class bigint, set array<{'int' if half else 'bigint'}>")
+        return texts.select(F.xxhash64("id"), "text").mapInArrow(sets, f"class bigint, set array<{'int' if half else 'bigint'}>")
 
     entered = materialize(texts.mapInArrow(enter, f"id {id_type}, class bigint, size int, s0 bigint, s1 bigint, paths array<bigint>"), "paths")
     members = entered.select("id", "class").distinct()
@@ -203,7 +210,7 @@ def near_duplicates(
         return ways.repartition("path").sortWithinPartitions("path").mapInArrow(compare, "a bigint, b bigint")
 
     once = entered.groupBy("class").agg(*[F.first(c).alias(c) for c in ("size", "s0", "s1", "paths")])
-    level, depth, known, found = once, 1, None, []
+    level, depth, known, found, spent = once, 1, None, [], []
     while True:
         ways = level.select(F.explode("paths").alias("path"), "class", "size", "s0", "s1")
         crowded = materialize(ways.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > bucket), f"crowded-{depth}")
@@ -228,8 +235,10 @@ def near_duplicates(
             known = materialize(sets_of(inside.select("class"), True), "crowded-sets")
         below = inside.join(known, "class").select("class", "size", "s0", "s1", "set", F.lit(depth == 1).alias("first"), "paths")
         level = materialize(below.mapInArrow(descend, "class bigint, size int, s0 bigint, s1 bigint, paths array<bigint>"), f"paths-{depth + 1}")
+        spent += [crowded, inside, level]
         depth += 1
     candidates = materialize(reduce(DataFrame.unionByName, found).distinct(), "candidates")
+    discard(*spent, *[known for _ in spent[:1]])
 
     # verification on the sets of the candidates' classes
     def with_sets(pairs: DataFrame, half: bool) -> DataFrame:
