@@ -51,7 +51,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_sequences(spark: SparkSession, d: str) -> DataFrame:
     """The frequent line sequences of each source, by the hashes of their lines."""
-    return prefix_span(table(spark, d, "articles")).patterns.select(F.col("source").alias("source_id"), "length", "keys", "support")
+    return prefix_span(table(spark, d, "articles")).select(F.col("source").alias("source_id"), "length", "keys", "support")
 
 
 def p4_texts(spark: SparkSession, d: str) -> DataFrame:

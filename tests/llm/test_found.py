@@ -143,13 +143,22 @@ def test_repeated_lines(spark):
     data += [(0, 1, data[0][2]), (50, 1, None), (51, 1, ""), (None, 1, "Share this"), (52, None, "Share this")]
     df = spark.createDataFrame(data, "id long, source_id long, content string").withColumn("key", F.lit(0)).withColumn("line_no", F.lit(0))
     assert {(r["id"], r["line_no"]) for r in repeated.repeated_lines(df).collect()} == {(i, n) for i in range(12) for n in (1, 3)}
-    p = {(r["length"], r["support"]) for r in repeated.prefix_span(df).patterns.collect()}
-    assert p == {(1, 12), (2, 12)}
+    assert {(r["length"], r["support"]) for r in repeated.prefix_span(df).collect()} == {(2, 12)}
     clean = {r["id"]: (r["content"], r["removed"]) for r in repeated.without_repeated_lines(df).collect()}
     assert clean[0] == ("Story a\n\n42", 2) and clean[50] == (None, 0) and clean[51] == ("", 0) and clean[20] == ("Share this", 0)
     assert repeated.repeated_lines(df.limit(0)).count() == 0
 
 
+def test_sequences_with_gaps_and_long_runs(spark):
+    """A notice of 300 lines is one element; rare lines between two elements don't part them."""
+    word = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    notice = [f"notice {word(i)}" for i in range(300)]
+    data = [(i, 1, "\n".join([*notice, f"rare {word(i)}", "Share this", "End" if i < 10 else f"else {word(i)}"])) for i in range(12)]
+    data += [(50 + i, 1, "Share this") for i in range(3)] + [(60 + i, 1, "End\nShare this") for i in range(3)]
+    got = {(r["length"], r["support"]) for r in repeated.prefix_span(spark.createDataFrame(data, "id long, source_id long, content string")).collect()}
+    assert got == {(300, 12), (1, 18), (1, 13), (301, 12), (2, 10), (302, 10)}
+
+
 # ---- 5 ----------------------------------------------------------------------------------------------------------------
 
 
@@ -207,6 +216,32 @@ def test_ambiguous_initials_stay_apart(spark):
     assert names.variant_pairs(names.variant_groups(df)).count() == 0
 
 
+def linked_names(spark, *authors):
+    got = names.variant_pairs(names.variant_groups(spark.createDataFrame([(a,) for a in authors], "author string")))
+    return {(r["author_a"], r["author_b"]) for r in got.collect()}
+
+
+def test_middle_names_part(spark):
+    one = ["John Adam Smith", "John A. Smith"]
+    assert linked_names(spark, *one, "John Brian Smith", "John Smith") == {tuple(sorted(one))}
+    assert len(linked_names(spark, "Ann M. Klogant", "Ann Klogant", "Klogant, Ann M.")) == 3
+    assert linked_names(spark, "Ann Maria Klogant", "Ann Melissa Klogant") == set()
+    assert len(linked_names(spark, "Ann Maria Klogant", "Ann Mraia Klogant")) == 1
+
+
+def test_short_and_single_names(spark):
+    assert linked_names(spark, "Bo Li", "Bo Lii", "Bo Xu", "Bo Yu", "Madonna", "Madona", "Reuters") == {("Bo Li", "Bo Lii"), ("Madona", "Madonna")}
+
+
+@pytest.mark.parametrize("most", [20_000, 3])
+def test_hot_shards_are_cut(spark, most):
+    rnd = random.Random(9)
+    keys = {f"anthony {''.join(rnd.choice('abcdef') for _ in range(5))}" for _ in range(40)}
+    keys |= {k[:-1] + "z" for k in list(keys)[:10]} | {k + "x" for k in list(keys)[10:20]}
+    got = {(r["a"], r["b"]) for r in names.trie_join(spark.createDataFrame([("p", k) for k in keys], "kind string, key string"), most).collect()}
+    assert {(min(p), max(p)) for p in got} == {(x, y) for x, y in itertools.combinations(sorted(keys), 2) if osa(x, y) <= 1} and got
+
+
 # ---- 6 ----------------------------------------------------------------------------------------------------------------
 
 

@@ -41,3 +41,18 @@ def test_copies_make_no_limit(spark):
 def test_notices_below_distinct_texts_are_complete(spark):
     data = [(i, 1, f"The {w} road was closed on Monday.\nAll rights reserved. Written for the Kent News", None) for i, w in enumerate(WORDS[:12])]
     assert found(spark, data) == set()
+
+
+def test_a_limit_whose_cuts_end_in_a_full_stop(spark):
+    """Lengths come first: texts cut at 120 that happen to end a sentence there show the limit, and are no cases."""
+    data = [(i, 1, f"The {w.ljust(7, 'x')} road was closed on Monday and the mayor opened the pool on Friday, when all of the people came along to see it."[:119] + ".", None) for i, w in enumerate(WORDS[:20])]
+    data += [(100 + i, 1, f"{w} is a place{' of note' * i}.", None) for i, w in enumerate(WORDS[:20])]
+    t = truncated.truncation(spark.createDataFrame(data, SCHEMA))
+    assert {(r["size"], r["values"], r["cut"]) for r in t.limits.where("measure = 'characters'").collect()} == {(120, 20, 0)}
+    assert t.found.count() == 0
+
+
+@pytest.mark.parametrize("times", [1, 4])
+def test_texts_of_all_lengths_make_no_limit(spark, times):
+    rows = [(i * 1000 + j, 1, f"{WORDS[j % 40]} {j} {'a' * (40 + i)}.", None) for i in range(40) for j in range(6 * times)]
+    assert truncated.truncation(spark.createDataFrame(rows, SCHEMA)).limits.count() == 0
