@@ -78,8 +78,8 @@ def _organisation(words: list[str], inside: list[str]) -> tuple[str, list[str]]
     return "o", [" ".join(plain), f"#{plain[0]} {''.join(w[0] for w in plain[1:])}"]
 
 
-def keys_of(author: str | None) -> tuple[str, list[str]] | None:
-    """The kind of a by-line and the keys under which it may meet others, the main one first; None if it names nobody or several.
+def keys_of(author: str | None) -> tuple[str, list[str], str] | None:
+    """The kind of a by-line, the keys under which it may meet others, the main one first, and its middle name or initial ('' if none); None if it names nobody or several.
 
     Kinds: 'o' organisation, 'p' person with a given name, 'i' person with initials only, 's' a single word.
     """
@@ -94,7 +94,7 @@ def keys_of(author: str | None) -> tuple[str, list[str]] | None:
     outer, inside = (bracket.group(1), _WORD.findall(fold(bracket.group(2)))) if bracket else (text, [])
     as_org = _organisation(_WORD.findall(fold(outer)), inside)
     if as_org and not re.search(r",| & | and ", outer):
-        return as_org
+        return *as_org, ""
     if bracket:
         text = outer
     if re.search(r"\s(?:and|&|with|und|et|y)\s|;|&", text, flags=re.I):
@@ -122,13 +122,13 @@ def keys_of(author: str | None) -> tuple[str, list[str]] | None:
         words = words[1:] + words[:1]  # FAMILY Given
     low = [fold(w) for w in words]
     if len(low) == 1:
-        return "s", low
-    given, family = low[0], low[-1]
+        return "s", low, ""
+    given, family, middle = low[0], low[-1], low[1] if len(low) > 2 else ""
     if len(family) == 1:  # "Family G"
         given, family = family, given
     if len(given) == 1:
-        return "i", [f"{given} {family}"]
-    return "p", [f"{given} {family}", *(f"{formal} {family}" for formal in _FORMAL.get(given, ()))]
+        return "i", [f"{given} {family}"], middle
+    return "p", [f"{given} {family}", *(f"{formal} {family}" for formal in _FORMAL.get(given, ()))], middle
 
 
 def segments(size: int, pieces: int = 3) -> list[tuple[int, int]]:
@@ -186,6 +186,17 @@ class Trie:
                 todo += [(child, x, row, above, c) for x, child in node.items() if x]
 
 
+def gentle(a: str, b: str) -> bool:
+    """Whether short names one edit apart may be one: a doubled letter or a swap of neighbours, never another letter ('Bo Li' and 'Bo Lii', not 'Bo Xu' and 'Bo Yu')."""
+    if len(a) == len(b):
+        return a != b and sorted(a) == sorted(b)
+    shorter, longer = sorted((a, b), key=len)
+    return any(longer[i] == longer[i - 1] and longer[:i] + longer[i + 1 :] == shorter for i in range(1, len(longer)))
+
+
+SHORT = 6
+
+
 def _in_shards(frames):
     """Pairs of neighbours inside each shard; the shards arrive sorted, one trie at a time is held."""
     held: list[pd.DataFrame] = []
@@ -197,8 +208,9 @@ def _in_shards(frames):
             if len(stored) and len(asked):
                 trie = Trie()
                 for form, key in zip(stored["form"], stored["key"]):
-                    trie.add(form, key)
-                out += [(key, other) for form, key in zip(asked["form"], asked["key"]) for other in trie.near(form) if other < key]
+                    trie.add(form, (form, key))
+                for form, key in zip(asked["form"], asked["key"]):
+                    out += [(key, other) for near, other in trie.near(form) if other < key and (min(len(form), len(near)) >= SHORT or near == form or gentle(form, near))]
         return pd.DataFrame(sorted(set(out)), columns=["a", "b"])
 
     for frame in frames:
@@ -221,27 +233,34 @@ def _forms(frames):
     for frame in frames:
         rows = []
         for kind, key in zip(frame["kind"], frame["key"]):
-            if key.startswith("#") or len(key) < 6:
+            if key.startswith("#") or len(key) < 3:
                 continue
             ws = key.split(" ")
-            rows += [(s, key, key, False) for s in shards_of(key, False)]
+            alone = "s" if kind == "s" else ""
+            rows += [(alone + s, key, key, False) for s in shards_of(key, False)]
             for order in set(permutations(ws)) if 1 < len(ws) <= 3 and kind != "i" else {tuple(ws)}:
                 form = " ".join(order)
-                rows += [(s, form, key, True) for s in shards_of(form, True)]
+                rows += [(alone + s, form, key, True) for s in shards_of(form, True)]
         yield pd.DataFrame(rows, columns=["shard", "form", "key", "stored"])
 
 
-def trie_join(keys: DataFrame) -> DataFrame:
-    """(a, b), a < b: keys of one kind within one edit of each other, the words of one taken in any order.
+def trie_join(keys: DataFrame, most: int = 20_000) -> DataFrame:
+    """(a, b), a < b: keys within one edit of each other, the words of one taken in any order.
 
     ``keys`` is (kind, key). Every key is stored in the shards of its whole pieces, in all orders of its (two or three)
     words, and asked for in the shards where a neighbour must share a piece; each shard becomes a trie that the automata
-    of the asked keys traverse. Shards are small because they hold a third of a distinct name at a fixed place.
-    Not joined: keys of fewer than 6 characters ('Bo Li' and 'Bo Lii' stay apart) and short forms of organisations ('#').
-    Callers leave out single words.
+    of the asked keys traverse. A shard that stores more than ``most`` forms - a common given name at one length - is cut
+    into blocks of stored forms, and its asked keys go to each block, so no trie is larger; shards are counted first.
+    Single words (kind 's') meet single words only. Forms of fewer than 6 characters meet by a doubled letter or a swap
+    (``gentle``). Not joined: keys of fewer than 3 characters and short forms of organisations ('#').
     """
-    forms = keys.select("kind", "key").distinct().mapInPandas(_forms, "shard string, form string, key string, stored boolean")
-    return forms.repartition("shard").sortWithinPartitions("shard").mapInPandas(_in_shards, "a string, b string").distinct()
+    forms = materialize(keys.select("kind", "key").distinct().mapInPandas(_forms, "shard string, form string, key string, stored boolean"), "forms")
+    hot = forms.groupBy("shard").agg(F.count_if("stored").alias("n")).where(F.col("n") > most).select("shard", F.ceil(F.col("n") / most).cast("int").alias("blocks"))
+    marked = forms.join(hot, "shard", "left")
+    own = F.when(F.col("stored"), F.array(F.pmod(F.xxhash64("form"), F.col("blocks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cut = marked.where("blocks is not null").withColumn("block", F.explode(own)).select(F.concat_ws("#", "block", "shard").alias("shard"), "form", "key", "stored")
+    placed = marked.where("blocks is null").select("shard", "form", "key", "stored").unionByName(cut)
+    return placed.repartition("shard").sortWithinPartitions("shard").mapInPandas(_in_shards, "a string, b string").distinct()
 
 
 def _parsed(frames):
@@ -250,9 +269,9 @@ def _parsed(frames):
         for author in frame["author"]:
             found = keys_of(author)
             if found:
-                kind, keys = found
-                rows += [(author, kind if kind != "o" else "o", n, key) for n, key in enumerate(keys)]
-        yield pd.DataFrame(rows, columns=["author", "kind", "n", "key"])
+                kind, keys, middle = found
+                rows += [(author, kind, n, key, middle) for n, key in enumerate(keys)]
+        yield pd.DataFrame(rows, columns=["author", "kind", "n", "key", "middle"])
 
 
 def variant_groups(df: DataFrame, author_col: str = "author") -> DataFrame:
@@ -263,16 +282,19 @@ def variant_groups(df: DataFrame, author_col: str = "author") -> DataFrame:
     2. Keys are linked: those of one string, and those within one edit by ``trie_join``. An edit inside the given name
        doesn't link two given names that are both common (as many families), nor any edit two different initials.
     3. Initials join a full name if all full names with that family and initial are one entity.
+    4. Middle names part what else agrees: if the strings of an entity have middle names of different initials, or of one
+       initial but more than two edits apart, those of each middle name are an entity ('John Adam Smith', 'John Brian
+       Smith'), initials going with the one name they can stand for, and strings without one stay by themselves.
     Repeated rows change nothing; an empty table gives no rows; other columns are ignored. Hot names are one row each from
     the first aggregation on.
     """
     authors = df.select(df[author_col].alias("author")).where("author is not null and trim(author) != ''").distinct()
-    parsed = materialize(authors.mapInPandas(_parsed, "author string, kind string, n int, key string"), "names")
-    main = parsed.where("n = 0").select("author", "kind", "key")
+    parsed = materialize(authors.mapInPandas(_parsed, "author string, kind string, n int, key string, middle string"), "names")
+    main = parsed.where("n = 0").select("author", "kind", "key", "middle")
     keys = parsed.select("kind", "key").distinct()
     own = main.join(parsed.where("n > 0").select("author", F.col("key").alias("other")), "author").select(F.col("key").alias("a"), F.col("other").alias("b"))
 
-    near = trie_join(keys.where("kind in ('p', 'i', 'o')"))
+    near = trie_join(keys)
     given, family = lambda c: F.split_part(F.col(c), F.lit(" "), F.lit(1)), lambda c: F.substring_index(c, " ", -1)
     families = keys.where("kind = 'p'").select(given("key").alias("given"), family("key").alias("family")).groupBy("given").agg(F.count_distinct("family").alias("families"))
     weighed = (
@@ -283,14 +305,23 @@ def variant_groups(df: DataFrame, author_col: str = "author") -> DataFrame:
     both_common = (F.least("fa", "fb") >= 5) & (F.least("fa", "fb") >= 0.3 * F.greatest("fa", "fb"))
     initial = (F.length("ga") == 1) | (F.length("gb") == 1)
     close = weighed.where((F.col("ga") == F.col("gb")) | (~initial & ~F.coalesce(both_common, F.lit(False)))).select("a", "b")
-    first = materialize(connected_components(own.unionByName(close)), "names-linked")
+    first = materialize(connected_components(own.unionByName(close)), "names-linked")  # the trie join runs once, here
 
     # initials: one entity per family and initial, or none
     full = keys.where("kind = 'p'").join(first.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root"), F.concat_ws(" ", F.substring(given("key"), 1, 1), family("key")).alias("short"))
     single = full.groupBy("short").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min("key").alias("key")).where("least = most")
     by_initial = keys.where("kind = 'i'").join(single.select(F.col("short").alias("key"), F.col("key").alias("b")), "key").select(F.col("key").alias("a"), "b")
-    linked = connected_components(own.unionByName(close).unionByName(by_initial))
-    return main.join(linked.withColumnRenamed("node", "key"), "key", "left").select("author", F.coalesce("root", "key").alias("entity"))
+    linked = connected_components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(by_initial))
+    grouped = materialize(main.join(linked.withColumnRenamed("node", "key"), "key", "left").select("author", "middle", F.coalesce("root", "key").alias("root")), "names-grouped")
+
+    middles = grouped.where("middle != ''").withColumn("initial", F.substring("middle", 1, 1)).groupBy("root", "initial").agg(
+        F.min(F.when(F.length("middle") > 1, F.col("middle"))).alias("least"), F.max(F.when(F.length("middle") > 1, F.col("middle"))).alias("most")
+    )
+    middles = middles.withColumn("several", F.coalesce(F.levenshtein("least", "most") > 2, F.lit(False)))
+    parted = middles.groupBy("root").agg(F.count("*").alias("n"), F.bool_or("several").alias("several")).where("n > 1 or several").select("root", F.lit(True).alias("parted"))
+    rows = grouped.withColumn("initial", F.substring("middle", 1, 1)).join(parted, "root", "left").join(middles.select("root", "initial", "several"), ["root", "initial"], "left")
+    own_middle = F.when(F.col("several") & (F.length("middle") > 1), F.col("middle")).otherwise(F.col("initial"))
+    return rows.select("author", F.when(F.col("parted") & (F.col("middle") != ""), F.concat_ws(" / ", "root", own_middle)).otherwise(F.col("root")).alias("entity"))
 
 
 def variant_pairs(groups: DataFrame) -> DataFrame:
