@@ -79,12 +79,13 @@ def measures(value: Column) -> Column:
         return F.length(value) - F.length(F.replace(value, F.lit(ch), F.lit("")))
 
     length, feeds, returns, quotes = F.length(value), literal("\n"), literal("\r"), literal('"')
-    non_ascii = times(r"[^\x00-\x7f]")
+    beyond = F.octet_length(value) != length
+    non_ascii = F.when(beyond, times(r"[^\x00-\x7f]")).otherwise(0)
     entities = 4 * literal("&") + 3 * (literal("<") + literal(">"))
     counted = {
         "characters": length,
         "bytes": F.octet_length(value),
-        "utf16": length + times(r"[\x{10000}-\x{10ffff}]"),
+        "utf16": length + F.when(beyond, times(r"[\x{10000}-\x{10ffff}]")).otherwise(0),
         "lf": length - returns,
         "crlf": length - returns + feeds,
         "entities": length + entities,
@@ -95,41 +96,46 @@ def measures(value: Column) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("measure"), v.alias("size")) for k, v in counted.items()])
 
 
-def hidden_limits(cut_values: DataFrame, min_values: int = 5, factor: float = 8.0, share: float = 0.25) -> DataFrame:
-    """(source, field_name, measure, size) at which the cut values of a source pile up.
+def hidden_limits(texts: DataFrame, min_values: int = 5, factor: float = 2.0, deviations: float = 5.0) -> DataFrame:
+    """(source, field_name, measure, size, values): sizes at which the texts of a source pile up, however they end.
 
-    A size counts as a limit if at least ``min_values`` values have it, at least ``share`` of the source's cut values, and
-    at least ``factor`` times as many as the mean of the ten sizes on either side, its direct neighbours left out (a cut
-    that is trimmed falls just short).
+    ``texts`` is (source, field_name, sizes), one row per distinct text. A size counts if at least ``min_values`` texts
+    have it, ``factor`` times as many as around it and more than ``deviations`` standard deviations of what lies around,
+    the mean of the ten sizes on either side but its direct neighbours (a cut that is trimmed falls just short). So the
+    bar follows the counts. What is grouped is bounded by the lengths texts can have, not by their number.
     """
-    sizes = cut_values.select("source", "field_name", F.inline("sizes")).groupBy("source", "field_name", "measure", "size").agg(F.count("*").alias("n"))
-    near = sizes.select("source", "field_name", "measure", F.col("n").alias("near_n"), F.explode(F.transform(F.array(*[F.lit(i) for i in range(-10, 11) if abs(i) > 1]), lambda i: F.col("size") + i)).alias("size"))
-    around = near.groupBy("source", "field_name", "measure", "size").agg((F.sum("near_n") / 18).alias("around"))
-    cuts = cut_values.groupBy("source", "field_name").agg(F.count("*").alias("cuts"))
-    high = sizes.where(F.col("n") >= min_values).join(cuts, ["source", "field_name"]).where(F.col("n") >= share * F.col("cuts"))
-    spikes = high.join(around, ["source", "field_name", "measure", "size"], "left")
-    return spikes.where(F.col("n") >= factor * F.coalesce("around", F.lit(0.0))).select("source", "field_name", "measure", "size", F.col("n").alias("values"))
+    at = ["source", "field_name", "measure", "size"]
+    sizes = materialize(texts.select("source", "field_name", F.inline("sizes")).groupBy(*at).agg(F.count("*").alias("n")), "sizes")
+    high = sizes.where(F.col("n") >= min_values).withColumnRenamed("n", "values")
+    steps = F.array(*[F.lit(i) for i in range(-10, 11) if abs(i) > 1])
+    near = high.select("source", "field_name", "measure", F.col("size").alias("centre"), F.explode(F.transform(steps, lambda i: F.col("size") + i)).alias("size"))
+    around = near.join(sizes, at).groupBy("source", "field_name", "measure", F.col("centre").alias("size")).agg((F.sum("n") / 18).alias("around"))
+    usual = F.coalesce("around", F.lit(0.0))
+    spikes = high.join(around, at, "left").where((F.col("values") >= factor * usual) & (F.col("values") >= usual + deviations * F.sqrt(usual + 1) - deviations))
+    return spikes.select(*at, "values")
 
 
 class Truncation:
-    """found: (id, field_name); limits: hidden_limits; values: (source, field_name, values)."""
+    """found: (id, field_name); limits: hidden_limits and how many of the texts at each are cut by their endings; values: (source, field_name, values)."""
 
     def __init__(self, found: DataFrame, limits: DataFrame, values: DataFrame):
         self.found, self.limits, self.values = found, limits, values
 
 
-def truncation(df: DataFrame, id_col: str = "id", source_col: str = "source_id", fields: tuple[str, ...] = ("content", "summary"), min_recurrent: int = 10, min_openings: int = 3, closed_share: float = 3.0) -> Truncation:
+def truncation(df: DataFrame, id_col: str = "id", source_col: str = "source_id", fields: tuple[str, ...] = ("content", "summary"), min_recurrent: int = 10, closed_share: float = 3.0) -> Truncation:
     """Values that stop inside a word or sentence.
 
-    The length of every value that doesn't end a sentence is taken as stored and as counted in bytes, UTF-16, with line
-    ends converted, entities or JSON escaped; sizes where a source's values pile up are its hidden limits. Then endings
-    are inspected. A value is cut if it ends openly and
-    (a) a mark of a cut stands at its end (ellipsis, opened bracket or tag, broken entity, character or escape), or
-    (b) its size is one of these limits of its source, or up to two below it (a trimmed cut), or
-    (c) its last line goes on after a complete sentence, or
-    (d) its last line opens like at least ``min_openings`` complete, longer sentences of the corpus do, and at least
-        ``closed_share`` times as many as there are openly ending lines with this opening: headlines, credits and
-        notices, which are complete without a full stop, end openly as a rule.
+    1. The length of every value is taken as stored and as counted in bytes, UTF-16, with line ends converted, entities or
+       JSON escaped, and for marked values also without the mark. Grouped by source and field, the sizes at which
+       distinct texts pile up against what lies around them are its hidden limits, whatever their endings.
+    2. Endings are inspected. A value is cut if it ends openly and
+       (a) a mark of a cut stands at its end (ellipsis, opened bracket or tag, broken entity, character or escape), or
+       (b) its size is one of the limits of its source, or up to two below it (a trimmed cut), provided that at least
+           half of the texts of that size are cut by (a), (c) or (d): texts of one size may be near-copies, or
+       (c) its last line goes on after a complete sentence, or
+       (d) its last line opens as complete, longer sentences of the corpus do, at least ``closed_share`` times as many as
+           there are openly ending lines with this opening, itself included: headlines, credits and notices, which are
+           complete without a full stop, end openly as a rule. Both sides of this comparison grow with the data.
     An unmarked last line that at least ``min_recurrent`` distinct texts of its source share is no cut: a notice ends
     them, at a limit by chance too, while copies of one text count once. A mark is evidence by itself. Messages and filler
     (problem 1) are no cuts unless by (b). Copies count once where sizes vote for limits and where open lines are weighed.
@@ -139,28 +145,33 @@ def truncation(df: DataFrame, id_col: str = "id", source_col: str = "source_id",
     values = values_of(df, id_col, list(fields), source).where("source is not null").withColumn("value", F.rtrim(F.col("value"), F.lit(" \t\r\n\u00a0")))
     tail = F.element_at(F.split("value", "\n", -1), -1)
     mark = F.regexp_extract(F.substring("value", -40, 40), MARKS, 0)
-    open_values = (
+    is_open = ((F.col("mark") != "") | ~F.substring("value", -12, 12).rlike(CLOSED)) & ~F.lower(F.trim(F.col("value"))).rlike(f"^(?:{WHOLE_VALUES})$")
+    if_open = lambda c: F.when(F.col("open"), c)
+    ends = materialize(
         values.withColumn("mark", mark)
-        .where((F.col("mark") != "") | ~F.substring("value", -12, 12).rlike(CLOSED))
-        .where(~F.lower(F.trim(F.col("value"))).rlike(f"^(?:{WHOLE_VALUES})$"))
-        .withColumn("line", F.trim(tail))
-        .withColumn("base", F.expr("substring(value, 1, length(value) - length(mark))"))
-        .withColumn("units", F.split("line", _SENTENCE_BREAK))
+        .withColumn("open", is_open)
+        .withColumn("line", if_open(F.trim(tail)))
+        .withColumn("base", F.when(F.col("mark") != "", F.expr("substring(value, 1, length(value) - length(mark))")))
+        .withColumn("units", if_open(F.split("line", _SENTENCE_BREAK)))
         .select(
-            "source", "id", "field_name", F.xxhash64("value").alias("text"), (F.col("mark") != "").alias("marked"), F.xxhash64(line_key(F.col("line"))).alias("key"), F.element_at("units", -1).alias("unit"), (F.size("units") > 1).alias("follows"),
-            evidence(F.col("line")).alias("evidence"), F.array_distinct(F.concat(measures(F.col("value")), measures(F.col("base")))).alias("sizes"),
-        )
+            "source", "id", "field_name", "open", F.xxhash64("value").alias("text"), (F.col("mark") != "").alias("marked"), if_open(F.xxhash64(line_key(F.col("line")))).alias("key"), if_open(F.element_at("units", -1)).alias("unit"),
+            if_open(F.size("units") > 1).alias("follows"), if_open(evidence(F.col("line"))).alias("evidence"),
+            F.when(F.col("base").isNull(), measures(F.col("value"))).otherwise(F.array_distinct(F.concat(measures(F.col("value")), measures(F.col("base"))))).alias("sizes"),
+        ),
+        "endings",
     )
-    open_values = open_values.dropDuplicates(["id", "field_name"])
+    lengths = ends.groupBy("source", "field_name", "text").agg(F.first("sizes").alias("sizes"))
+    piles = materialize(hidden_limits(lengths), "piles")
+
     # each text stands for its least article, so neither copies nor two fields of one article count twice
     keys = F.transform(F.split("value", "\n", -1), line_key)
     lines = values.select("source", "id", keys.alias("keys")).select("source", "id", F.xxhash64("keys").alias("text"), F.explode("keys").alias("k")).where("k != ''")
     once = lines.groupBy("source", F.xxhash64("k").alias("key"), "text").agg(F.min("id").alias("id"))
     recurrent = distinct_support(once, ["source", "key"], "id").where(F.col("support") >= min_recurrent).select("source", "key", F.lit(True).alias("recurs"))
-    openings = values.select("value").mapInArrow(_count_openings, "opening string, n bigint").groupBy("opening").agg(F.sum("n").alias("n")).where(F.col("n") >= min_openings)
+    openings = values.select("value").mapInArrow(_count_openings, "opening string, n bigint").groupBy("opening").agg(F.sum("n").alias("n")).where(F.col("n") >= closed_share)
     news, own = F.col("evidence").isNull(), ~F.col("recurs")
     usual = F.coalesce("usual", F.lit(False)) & F.col("unit").rlike(r"^['\"\u201c\u2018(]?[\p{Lu}\d]")
-    known = open_values.withColumn("opening", _opening("unit")).join(recurrent, ["source", "key"], "left")
+    known = ends.where("open").withColumn("opening", _opening("unit")).join(recurrent, ["source", "key"], "left")
     opened = materialize(known.withColumn("recurs", F.coalesce("recurs", F.lit(False))), "open-lines")
     as_open = opened.where("not marked and not follows and not recurs").select("opening", "source", "key").distinct().groupBy("opening").agg(F.count("*").alias("n_open"))
     closing = openings.join(as_open, "opening", "left").where(F.col("n") >= closed_share * F.coalesce("n_open", F.lit(0)))
@@ -170,16 +181,17 @@ def truncation(df: DataFrame, id_col: str = "id", source_col: str = "source_id",
         .select("source", "id", "field_name", "text", "sizes", "recurs", "ends_open"),
         "open-endings",
     )
-    limits = hidden_limits(inspected.where("ends_open").dropDuplicates(["source", "field_name", "text"]))
-    at = (
+    at = ["source", "field_name", "measure", "size"]
+    by_ending = inspected.where("ends_open").dropDuplicates(["source", "field_name", "text"]).select("source", "field_name", F.inline("sizes")).join(piles.select(*at), at).groupBy(*at).agg(F.count("*").alias("cut"))
+    limits = materialize(piles.join(by_ending, at, "left").withColumn("cut", F.coalesce("cut", F.lit(0))), "limits")
+    hit = (
         inspected.where("not ends_open and not recurs")
         .select("source", "id", "field_name", F.inline("sizes"))
         .withColumnRenamed("size", "exact")
         .withColumn("size", F.explode(F.sequence(F.col("exact"), F.col("exact") + 2)))
-        .join(limits, ["source", "field_name", "measure", "size"], "left_semi")
+        .join(limits.where("2 * cut >= values"), at, "left_semi")
         .select("id", "field_name")
-        .distinct()
     )
-    found = inspected.where("ends_open").select("id", "field_name").unionByName(at).withColumnRenamed("id", id_col)
-    counted = values.select("source", "field_name", "id").distinct().groupBy("source", "field_name").agg(F.count("*").alias("values"))
+    found = inspected.where("ends_open").select("id", "field_name").unionByName(hit).distinct().withColumnRenamed("id", id_col)
+    counted = ends.select("source", "field_name", "id").distinct().groupBy("source", "field_name").agg(F.count("*").alias("values"))
     return Truncation(found, limits, counted)
