@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.shingling import WordHash, hashed, mix, shingles, words
 from newsloom.operators.similar import arrays, class_of, lists, longs
-from newsloom.runtime import latest_rows, materialize
+from newsloom.runtime import BitFilter, latest_rows, materialize
 
 _memo = WordHash()
+#: Bits of the filter of crossing runs, 16 MB; more runs than an eighth of them are joined instead.
+FILTER_BITS = 27
 
 
 class Overlap:
@@ -181,9 +183,10 @@ def cross_split_overlap(
 ) -> Overlap:
     """Pairs of a training and an evaluation record whose distinct runs of ``k`` words have a Jaccard similarity of ``threshold`` or more.
 
-    1. Texts with the same runs on one side are one class, so groups of copies enter once. Runs are counted by side, on
-       the map side first. A text less than ``threshold`` of whose runs occur on the other side can have no partner and
-       stays out of the array.
+    1. Texts with the same runs on one side are one class, so groups of copies enter once. The sides of each run are put
+       together on the map side first. A text less than ``threshold`` of whose runs occur on both sides can have no
+       partner and stays out of the array: a filter of fixed size tells, or, where there are too many such runs for it, a
+       join.
     2. The suffixes of the others are sorted (``shared_prefixes``). Neighbours of different sides with a common prefix of
        ``k`` words or more are shared spans; successive positions merge into longer ones, and all of a text into its
        coverage. Only texts covered to ``threshold`` go on.
@@ -214,17 +217,39 @@ def cross_split_overlap(
     members = entered.select("id", "side", "class")
     texts = materialize(entered.groupBy("class", "side").agg(F.first("n").alias("n"), F.first("words").alias("words")), "texts")
 
-    def distinct_runs(batches):
+    def run_sides(batches):
+        """Each run of a batch once with the sides it occurs on: 1 training, 2 the others, 3 both."""
         for b in batches:
-            yield pa.record_batch([b.column(0), b.column(1), b.column(2), lists([np.unique(_runs(ws, k)) for ws in _word_arrays(b.column(3))])], ["class", "side", "n", "runs"])
+            own = [np.unique(_runs(ws, k)) for ws in _word_arrays(b.column(1))]
+            if own:
+                bits = np.repeat(1 << b.column(0).to_numpy(), [len(x) for x in own])
+                values, at = np.unique(np.concatenate(own), return_inverse=True)
+                found = np.zeros(len(values), np.int32)
+                np.bitwise_or.at(found, at, bits)
+                yield pa.record_batch([longs(values), pa.array(found)], ["run", "sides"])
 
-    runs = texts.mapInArrow(distinct_runs, "class bigint, side int, n int, runs array<bigint>").select("class", "side", "n", F.explode("runs").alias("run"))
-    evaluation = F.sum("side").alias("other")
-    both = runs.groupBy("run").agg(F.count("*").alias("all"), evaluation).where("other > 0 and other < all").select("run")
-    crossing = materialize(both, "crossing-runs")
     least = F.ceil(F.col("n") * threshold - 1e-9).cast("int")
-    able = runs.join(crossing, "run").groupBy("class", "side").agg(F.first("n").alias("n"), F.count("*").alias("hits")).where(F.col("hits") >= least).select("class", "side")
-    kept = materialize(texts.join(able, ["class", "side"]), "able-texts")
+    both = texts.select("side", "words").mapInArrow(run_sides, "run bigint, sides int").groupBy("run").agg(F.bit_or("sides").alias("sides"))
+    crossing = materialize(both.where("sides = 3").select("run"), "crossing-runs")
+    if crossing.count() <= (1 << FILTER_BITS) // 8:
+        known = BitFilter(crossing, FILTER_BITS)
+
+        def hits(batches):
+            for b in batches:
+                counted = [int(np.count_nonzero(known.passes(np.unique(_runs(ws, k))))) for ws in _word_arrays(b.column(3))]
+                yield pa.record_batch([*b.columns, pa.array(counted, pa.int32())], ["class", "side", "n", "words", "hits"])
+
+        able = texts.mapInArrow(hits, "class bigint, side int, n int, words binary, hits int").where(F.col("hits") >= least).drop("hits")
+    else:
+
+        def distinct_runs(batches):
+            for b in batches:
+                yield pa.record_batch([b.column(0), b.column(1), b.column(2), lists([np.unique(_runs(ws, k)) for ws in _word_arrays(b.column(3))])], ["class", "side", "n", "runs"])
+
+        runs = texts.mapInArrow(distinct_runs, "class bigint, side int, n int, runs array<bigint>").select("class", "side", "n", F.explode("runs").alias("run"))
+        counted = runs.join(crossing, "run").groupBy("class", "side").agg(F.first("n").alias("n"), F.count("*").alias("hits")).where(F.col("hits") >= least)
+        able = texts.join(counted.select("class", "side"), ["class", "side"])
+    kept = materialize(able.select("class", "side", "n", "words"), "able-texts")
 
     spans = shared_prefixes(kept, k, part_suffixes=part_suffixes).groupBy("class", "side").agg(F.array_sort(F.collect_set("pos")).alias("covered"))
 

@@ -87,8 +87,9 @@ def test_residue_subtracts_recurrent_lines(spark):
 # ---- 3 ----------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(("seed", "part"), [(3, 200_000), (4, 200), (5, 37)])
-def test_cross_split(spark, seed, part):
+@pytest.mark.parametrize(("seed", "part", "bits"), [(3, 200_000, 27), (4, 200, 8), (5, 37, 12)])
+def test_cross_split(spark, monkeypatch, seed, part, bits):
+    monkeypatch.setattr(overlap, "FILTER_BITS", bits)
     texts = family_of_texts(seed, 50, 60)
     splits = ["train", " TRAIN_v2 ", "test", "valid", None, ""]
     data = [(i, splits[i % 6], t, 1) for i, t in texts.items()] + [(900, "train", None, 1), (901, "test", "too short for it", 1), (902, "test", "", 1), (0, "test", "superseded text", 0)]
