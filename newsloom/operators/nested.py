@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -50,42 +49,49 @@ def read(text: str | None):
     return value if isinstance(value, (dict, list)) else None
 
 
-def _elements(values: list, at: str = "") -> Iterator[tuple[str, dict]]:
-    """Objects of an array with their positions; an array inside an array adds a position."""
-    for i, v in enumerate(values):
-        v = decode(v)
-        if isinstance(v, dict):
-            yield f"{at}{i}", v
-        elif isinstance(v, list):
-            yield from _elements(v, f"{at}{i}/")
+#: Stands in a path for the elements of an array that lies directly in an array.
+INNER = "\0inner"
 
 
-def _columns(value: dict) -> dict[str, dict]:
-    """{row key: {column: value}} of an object of columns, each an object by row key."""
+def _columns(value: dict) -> tuple[dict[str, dict], dict]:
+    """({row key: {column: value}}, what is left) of an object of columns, each an object by row key."""
     rows: dict[str, dict] = {}
+    rest = {}
     for column, cells in value.items():
         cells = decode(cells)
         if isinstance(cells, dict):
             for key, cell in cells.items():
                 rows.setdefault(key, {})[column] = cell
-    return rows
+        elif cells is not None:
+            rest[column] = cells
+    return rows, rest
 
 
 def _kinds(value, path: Path, columnar: frozenset[Path], out: set[tuple[Path, str]]) -> None:
+    """Adds what ``value`` is at ``path``: 'object', 'leaf', 'array', and of an array's elements 'rows' (objects) or 'items' (scalars)."""
     value = decode(value)
     if isinstance(value, dict) and path in columnar:
+        rows, rest = _columns(value)
         out.add((path, "rows"))
-        out.update(((*path, c), "leaf") for cells in _columns(value).values() for c in cells)
+        out.update(((*path, c), "leaf") for cells in rows.values() for c in cells)
+        if rest:
+            out.add((path, "leaf"))
     elif isinstance(value, dict):
         out.add((path, "object"))
         for name, v in value.items():
             _kinds(v, (*path, name), columnar, out)
     elif isinstance(value, list):
         out.add((path, "array"))
-        for _, element in _elements(value):
-            out.add((path, "rows"))
-            for name, v in element.items():
-                _kinds(v, (*path, name), columnar, out)
+        for element in map(decode, value):
+            if isinstance(element, dict):
+                out.add((path, "rows"))
+                for name, v in element.items():
+                    _kinds(v, (*path, name), columnar, out)
+            elif isinstance(element, list):
+                out.add((path, "items"))
+                _kinds(element, (*path, INNER), columnar, out)
+            elif element is not None:
+                out.add((path, "items"))
     elif value is not None:
         out.add((path, "leaf"))
 
@@ -115,54 +121,71 @@ def merged_schema(texts: DataFrame, columnar: frozenset[Path]) -> dict[Path, set
     return kinds
 
 
+def _text(value) -> str | None:
+    return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+
+
 class Shape:
-    """The merged schema as a tree: every node is a table ('rows'), a struct ('object') or a leaf."""
+    """The merged schema as a tree: every node is a table ('rows'), a struct ('object') or a leaf.
+
+    Fields are numbered. A struct or table row has _v, the text of a scalar that stands where others have an object or as
+    an element of the array; a table row also has _at, its place, and _in, the elements of an array that is the element.
+    """
 
-    def __init__(self, kinds: dict[Path, set[str]]):
-        self.kinds = kinds
+    def __init__(self, kinds: dict[Path, set[str]], columnar: frozenset[Path]):
+        self.kinds, self.columnar = kinds, columnar
         self.children: dict[Path, list[str]] = {}
         for path in sorted(kinds):
-            if path:
+            if path and path[-1] != INNER:
                 self.children.setdefault(path[:-1], []).append(path[-1])
 
     def kind(self, path: Path) -> str:
         found = self.kinds.get(path, set())
-        if path and "array" in found and ("rows" in found or "object" in found):
+        if found & {"rows", "items"} or (path[-1:] == (INNER,)) or {"array", "object"} <= found:
             return "rows"
-        return "rows" if "rows" in found else "object" if "object" in found else "leaf"
+        return "object" if "object" in found else "leaf"
+
+    def inner(self, path: Path) -> bool:
+        return (*path, INNER) in self.kinds
 
     def type(self, path: Path) -> T.DataType:
         kind = self.kind(path)
         if kind == "leaf":
             return T.StringType()
-        fields = [T.StructField(f"{_FIELD}{i}", self.type((*path, name))) for i, name in enumerate(self.children.get(path, ()))]
+        fields = [T.StructField("_v", T.StringType()), *(T.StructField(f"{_FIELD}{i}", self.type((*path, name))) for i, name in enumerate(self.children.get(path, ())))]
         if kind == "object":
-            return T.StructType(fields or [T.StructField(_AT, T.StringType())])
-        return T.ArrayType(T.StructType([T.StructField(_AT, T.StringType()), *fields]))
+            return T.StructType(fields)
+        inside = [T.StructField("_in", self.type((*path, INNER)))] if self.inner(path) else []
+        return T.ArrayType(T.StructType([T.StructField(_AT, T.StringType()), *fields, *inside]))
 
-    def canonical(self, value, path: Path, columnar: frozenset[Path]):
-        """``value`` in the form of ``type(path)``: text decoded, bare objects made arrays, fields numbered, rows given their place."""
+    def canonical(self, value, path: Path):
+        """``value`` in the form of ``type(path)``: text decoded, bare objects and scalars made arrays, fields numbered, rows given their place."""
         value = decode(value)
         kind = self.kind(path)
         if value is None:
             return None
         if kind == "leaf":
-            return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+            return _text(value)
         if kind == "object":
-            return self._fields(value, path, columnar) if isinstance(value, dict) else None
-        if isinstance(value, dict):
-            rows = _columns(value).items() if path in columnar else [("0", value)]
-        elif isinstance(value, list):
-            rows = _elements(value)
-        else:
-            return None
-        return [{_AT: at} | self._fields(row, path, columnar) for at, row in rows]
+            return self.fields(value, path) if isinstance(value, dict) else {"_v": _text(value)}
+        if isinstance(value, dict) and path in self.columnar:
+            rows, rest = _columns(value)
+            return [{_AT: at} | self.fields(row, path) for at, row in rows.items()] + ([{_AT: None, "_v": _text(rest)}] if rest else [])
+        out = []
+        for at, element in enumerate(map(decode, value if isinstance(value, list) else [value])):
+            if isinstance(element, dict):
+                out.append({_AT: str(at)} | self.fields(element, path))
+            elif isinstance(element, list):
+                out.append({_AT: str(at), "_in": self.canonical(element, (*path, INNER))})
+            elif element is not None:
+                out.append({_AT: str(at), "_v": _text(element)})
+        return out
 
-    def _fields(self, value: dict, path: Path, columnar: frozenset[Path]) -> dict:
+    def fields(self, value: dict, path: Path) -> dict:
         out = {}
         for i, name in enumerate(self.children.get(path, ())):
             if value.get(name) is not None:
-                out[f"{_FIELD}{i}"] = self.canonical(value[name], (*path, name), columnar)
+                out[f"{_FIELD}{i}"] = self.canonical(value[name], (*path, name))
         return out
 
 
@@ -182,28 +205,37 @@ def _unclashing(names: list[str], taken: list[str]) -> list[str]:
 KEYS = ["document_id", "node_path", "parent_path", "ordinal"]
 
 
-def flatten(
-    df: DataFrame, id_col: str = "id", json_col: str = "reference_content", order_col: str | None = "created_at", columnar: tuple[str, ...] = ("box_score",)
-) -> dict[str, DataFrame]:
-    """Flat tables of nested JSON records: one for the roots ('') and one for each array of objects, by its path of names.
+class Tables(dict):
+    """The flat tables by path of names; ``records`` has (document_id, node_path, parent_path) of all objects in arrays."""
+
+    def __init__(self):
+        super().__init__()
+        self.records: list[DataFrame] = []
+
+
+def flatten(df: DataFrame, id_col: str = "id", json_col: str = "reference_content", order_col: str | None = "created_at", columnar: tuple[str, ...] = ()) -> Tables:
+    """Flat tables of nested JSON records: one for the roots ('') and one for each array, by its path of names.
 
     Every table has document_id, node_path (the surrogate key within the document: names and positions from the root,
-    joined by '/'), parent_path (the node_path of the row's parent, '' for the root), ordinal (the position in the array,
-    null where it is no number) and a text column for each scalar field; fields of inner structs are joined by '.', and
-    names that clash, also by case, get _2, _3 and so on.
+    joined by '/'), parent_path (the node_path of the row's parent, '' for the root), ordinal (the position in the array)
+    and a text column for each scalar field; fields of inner structs are joined by '.', and names that clash, also by
+    case, get _2, _3 and so on. Elements of an array that are scalars are rows with their text in ``element``; elements
+    that are arrays are rows too, and their own elements are rows of a further table (the path and '[]') with ordinals of
+    their own. Nothing a record holds is left out but nulls.
     Records are read once to merge their schema, rewritten in its form, and the arrays are then exploded level by level,
-    each child from its parent's row. Objects named in ``columnar`` hold one object per column, each keyed by row: they
-    give one row per row key.
-    Text that encodes JSON counts as what it encodes; a bare object where other records have an array counts as element
-    0; null elements and scalars keep their positions and give no rows; a scalar where others have an object or array
-    counts as absent. Null, blank and unreadable records give a root row without fields and no other rows. Rows of one id
-    count once (the latest by ``order_col``); null ids are left out; an empty table gives empty tables; other columns
-    don't matter.
+    each child from its parent's row; the scan of each table reads only its own fields. Objects named in ``columnar``
+    (fields of the root) hold one object per column, each keyed by row: they give one row per row key, with a null
+    ordinal unless it is a number; columns that aren't objects are one row with a null place.
+    Text that encodes JSON counts as what it encodes; a bare object or scalar where other records have an array counts as
+    element 0, a scalar where others have an object as a text column of the object's name; null elements keep their
+    positions and give no rows. Null, blank and unreadable records give a root row without fields and no other rows. Rows
+    of one id count once (the latest by ``order_col``); null ids are left out; an empty table gives empty tables; other
+    columns don't matter.
     """
     named = df.select(df[id_col].alias("id"), (df[order_col] if order_col else F.lit(0)).alias("at"), df[json_col].alias("text")).where("id is not null")
     texts = latest_rows(named, "id", "at").select("id", "text")
     named_columnar = frozenset((c,) for c in columnar)
-    shape = Shape(merged_schema(texts, named_columnar))
+    shape = Shape(merged_schema(texts, named_columnar), named_columnar)
     array_root = "array" in shape.kinds.get((), set())
     id_type = texts.schema["id"].dataType.simpleString()
 
@@ -214,21 +246,23 @@ def flatten(
                 root = read(text)
                 whole: dict = {}
                 if isinstance(root, dict):
-                    whole["o"] = shape._fields(root, (), named_columnar)
+                    whole["o"] = shape.fields(root, ())
                 elif isinstance(root, list):
-                    whole["a"] = [{_AT: at} | shape._fields(row, (), named_columnar) for at, row in _elements(root)]
+                    whole["a"] = shape.canonical(root, ())
                 out.append(json.dumps(whole, ensure_ascii=False))
             yield pd.DataFrame({"id": frame["id"], "record": out})
 
     inner = [T.StructField(f"{_FIELD}{i}", shape.type((name,))) for i, name in enumerate(shape.children.get((), ()))]
-    root_type = T.StructType([T.StructField("o", T.StructType(inner or [T.StructField(_AT, T.StringType())])), T.StructField("a", T.ArrayType(T.StructType([T.StructField(_AT, T.StringType()), *inner])))])
-    parsed = texts.mapInPandas(rewrite, f"id {id_type}, record string").select(F.col("id").alias("document_id"), F.from_json("record", root_type).alias("r"))
-    parsed = materialize(parsed, "nested")
+    root_fields = [T.StructField("o", T.StructType(inner or [T.StructField("_v", T.StringType())]))]
+    as_rows = shape.type(()) if array_root and shape.kind(()) == "rows" else None
+    parsed = texts.mapInPandas(rewrite, f"id {id_type}, record string")
+    schema = T.StructType([*root_fields, *([T.StructField("a", as_rows)] if as_rows else [])])
+    parsed = materialize(parsed.select(F.col("id").alias("document_id"), F.from_json("record", schema).alias("r")), "nested")
 
-    tables: dict[str, DataFrame] = {}
+    tables = Tables()
 
-    def walk(rows: DataFrame, path: Path, table: str) -> None:
-        """Emits the table of ``rows`` (document_id, node_path, parent_path, at, e) and descends into its arrays."""
+    def walk(rows: DataFrame, path: Path, table: str, items: bool) -> None:
+        """Emits the table of ``rows`` (document_id, node_path, parent_path, record_path, at, e) and descends into its arrays."""
         leaves: list[tuple[str, Column]] = []
         arrays: list[tuple[Path, Path, Column]] = []
 
@@ -238,33 +272,55 @@ def flatten(
                 if kind == "leaf":
                     leaves.append((".".join((*prefix, name)), column))
                 elif kind == "object":
+                    if "leaf" in shape.kinds[(*at, name)]:
+                        leaves.append((".".join((*prefix, name)), column.getField("_v")))
                     fields((*at, name), (*prefix, name), column)
                 else:
                     arrays.append(((*at, name), (*prefix, name), column))
 
         fields(path, (), F.col("e"))
+        if items:
+            leaves.insert(0, ("element", F.col("e._v")))
         names = _unclashing([n for n, _ in leaves], KEYS)
-        ordinal = F.col("at").try_cast("int").alias("ordinal")
-        flat = rows.select("document_id", "node_path", "parent_path", ordinal, *[c.alias(n) for n, (_, c) in zip(names, leaves)])
-        tables[table] = flat if table not in tables else tables[table].unionByName(flat)
+        flat = rows.select("document_id", "node_path", "parent_path", F.col("at").try_cast("int").alias("ordinal"), *[c.alias(n) for n, (_, c) in zip(names, leaves)])
+        tables[table] = flat if table not in tables else tables[table].unionByName(flat, allowMissingColumns=True)
+
+        def descend(at: Path, name: str, column: Column, parent: DataFrame) -> None:
+            child = parent.select("document_id", F.col("node_path").alias("parent_path"), "record_path", F.explode(column).alias("e"))
+            step = F.coalesce(F.concat(F.lit(name + "/" if name else ""), F.col(f"e.{_AT}")), F.lit(name))
+            key = F.when(F.col("parent_path") == "", step).otherwise(F.concat("parent_path", F.lit("/"), step))
+            placed = child.select("document_id", key.alias("node_path"), "parent_path", "record_path", F.col(f"e.{_AT}").alias("at"), "e")
+            enter(placed, at, f"{table}/{name or '[]'}" if table else name)
+
+        inside = rows.withColumn("record_path", F.col("node_path"))
         for at, prefix, column in arrays:
-            name = "/".join(prefix)
-            child = rows.select("document_id", F.col("node_path").alias("parent_path"), F.explode(column).alias("e"))
-            key = F.concat(F.when(F.col("parent_path") == "", "").otherwise(F.concat("parent_path", F.lit("/"))), F.lit(name + "/"), F.col(f"e.{_AT}"))
-            walk(child.select("document_id", key.alias("node_path"), "parent_path", F.col(f"e.{_AT}").alias("at"), "e"), at, f"{table}/{name}" if table else name)
-
-    roots = parsed.select("document_id", F.lit("").alias("node_path"), F.lit(None).cast("string").alias("parent_path"), F.lit(None).cast("string").alias("at"), F.col("r.o").alias("e"))
-    walk(roots, (), "")
-    if array_root:
+            descend(at, "/".join(prefix), column, inside)
+        if items and shape.inner(path):
+            descend((*path, INNER), "", F.col("e._in"), rows)
+
+    def enter(rows: DataFrame, path: Path, table: str) -> None:
+        """The rows of one array: those that are objects are records."""
+        found = shape.kinds.get(path, set())
+        items = bool(found & {"items", "leaf"})
+        record = F.col("e._v").isNull() & (F.col("e._in").isNull() if shape.inner(path) else F.lit(True))
+        if found & {"rows", "object"}:
+            tables.records.append((rows.where(record) if items else rows).select("document_id", "node_path", F.col("record_path").alias("parent_path")))
+        walk(rows, path, table, items)
+
+    root = F.lit(None).cast("string")
+    walk(parsed.select("document_id", F.lit("").alias("node_path"), root.alias("parent_path"), F.lit("").alias("record_path"), root.alias("at"), F.col("r.o").alias("e")), (), "", False)
+    if as_rows:
         top = parsed.select("document_id", F.explode("r.a").alias("e"))
+        at, nothing = F.col(f"e.{_AT}"), F.lit("")
         own = dict(tables)
         tables.clear()
-        walk(top.select("document_id", F.col(f"e.{_AT}").alias("node_path"), F.lit("").alias("parent_path"), F.col(f"e.{_AT}").alias("at"), "e"), (), "[]")
+        enter(top.select("document_id", at.alias("node_path"), nothing.alias("parent_path"), nothing.alias("record_path"), at.alias("at"), "e"), (), "[]")
         tables.update(own)
     return tables
 
 
-def nodes(tables: dict[str, DataFrame]) -> DataFrame:
-    """(document_id, node_path, parent_path) of all rows but the roots."""
-    keys = [t.select("document_id", "node_path", "parent_path") for name, t in tables.items() if name]
-    return reduce(DataFrame.unionByName, keys) if keys else tables[""].select("document_id", "node_path", "parent_path").limit(0)
+def nodes(tables: Tables) -> DataFrame:
+    """(document_id, node_path, parent_path) of all objects that are elements of arrays; parent_path names the nearest enclosing one, '' at the root."""
+    if tables.records:
+        return reduce(DataFrame.unionByName, tables.records)
+    return tables[""].select("document_id", "node_path", "parent_path").limit(0)

@@ -20,7 +20,7 @@ def _games(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFrame
     own = documents(spark, d, "metadata", "primary_text")
     keys = ["home_city", "home_team", "away_city", "away_team"]
     meta = own.select(F.col("id").alias("document_id"), F.col("primary_text").alias("text"), *[F.get_json_object("metadata", f"$.{k}").alias(k) for k in keys])
-    return nested.flatten(docs), meta
+    return nested.flatten(docs, columnar=("box_score",)), meta
 
 
 @query()
@@ -61,7 +61,7 @@ def bill_sentence_types(spark: SparkSession, d: str) -> DataFrame:
 SELECT id AS document_id, 'The text is ' || lower(label) AS fact_text, 'subjectivity' AS fact_type FROM l WHERE label <> ''""")
 def label_facts(spark: SparkSession, d: str) -> DataFrame:
     own = documents(spark, d, "source_id").where("source_id = 3").select(F.col("id").alias("document_id"))
-    labels = nested.flatten(table(spark, d, "dataset_documents"))[""].join(own, "document_id").select("document_id", "label")
+    labels = nested.flatten(table(spark, d, "dataset_documents"), columnar=("box_score",))[""].join(own, "document_id").select("document_id", "label")
     return facts.label_facts(labels, "subjectivity", "The text is ")
 
 

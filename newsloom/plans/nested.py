@@ -13,14 +13,14 @@ registry = Registry()
 
 @registry.add()
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.nodes(nested.flatten(table(spark, d, "dataset_documents")))
+    return nested.nodes(nested.flatten(table(spark, d, "dataset_documents"), columnar=("box_score",)))
 
 
 @registry.add()
 def p2_players(spark: SparkSession, d: str) -> DataFrame:
-    return nested.flatten(table(spark, d, "dataset_documents"))["box_score"]
+    return nested.flatten(table(spark, d, "dataset_documents"), columnar=("box_score",))["box_score"]
 
 
 @registry.add()
 def p2_provisions(spark: SparkSession, d: str) -> DataFrame:
-    return nested.flatten(table(spark, d, "dataset_documents"))["sections/provisions"]
+    return nested.flatten(table(spark, d, "dataset_documents"), columnar=("box_score",))["sections/provisions"]

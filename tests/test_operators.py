@@ -170,7 +170,7 @@ def test_nested_forms(spark):
         (8, json.dumps({"sections": {"num": 9}}), 1), (None, "{}", 1),
     ]
     df = spark.createDataFrame(data, "id long, reference_content string, created_at long").withColumn("NODE_PATH", F.lit("clash"))
-    tables = nested.flatten(df)
+    tables = nested.flatten(df, columnar=("box_score",))
     got = set(rows(nested.nodes(tables)))
     assert got == {
         (1, "box_score/0", ""), (1, "box_score/7", ""), (1, "box_score/9", ""), (1, "periods/0", ""), (1, "periods/2", ""), (1, "periods/0/plays/0", "periods/0"), (1, "periods/0/plays/2", "periods/0"),
@@ -181,6 +181,28 @@ def test_nested_forms(spark):
     assert tables[""].count() == 8 and {r["node_path"] for r in tables["box_score"].where("PTS = '4'").collect()} == {"box_score/7"}
 
 
+def test_nested_keeps_scalars_and_inner_arrays(spark):
+    record = {"mixed": [{"k": 1}, "x", 7, None, [{"k": 2}, "y"]], "obj": "plain", "tags": ["a", "b"], "grid": [[{"n": 1}], [{"n": 2}, 3]], "box_score": {"PTS": {"0": 5}, "note": "n"}}
+    other = {"obj": {"field": 4}, "tags": "single", "mixed": []}
+    df = spark.createDataFrame([(1, json.dumps(record), 1), (2, json.dumps(other), 1)], "id long, reference_content string, created_at long")
+    t = nested.flatten(df, columnar=("box_score",))
+    full = lambda name, *c: sorted(tuple(r[x] for x in ("document_id", "node_path", "parent_path", "ordinal", *c)) for r in t[name].collect())
+    assert full("mixed", "element", "k") == [(1, "mixed/0", "", 0, None, "1"), (1, "mixed/1", "", 1, "x", None), (1, "mixed/2", "", 2, "7", None), (1, "mixed/4", "", 4, None, None)]
+    assert full("mixed/[]", "element", "k") == [(1, "mixed/4/0", "mixed/4", 0, None, "2"), (1, "mixed/4/1", "mixed/4", 1, "y", None)]
+    assert full("tags", "element") == [(1, "tags/0", "", 0, "a"), (1, "tags/1", "", 1, "b"), (2, "tags/0", "", 0, "single")]
+    assert [r[:2] for r in full("grid")] == [(1, "grid/0"), (1, "grid/1")] and full("grid/[]", "element", "n")[-1] == (1, "grid/1/1", "grid/1", 1, "3", None)
+    assert {r["document_id"]: (r["obj"], r["obj.field"]) for r in t[""].select("document_id", "obj", "`obj.field`").collect()} == {1: ("plain", None), 2: (None, "4")}
+    assert [r[1:] for r in full("box_score", "element", "PTS")] == [("box_score", "", None, '{"note": "n"}', None), ("box_score/0", "", 0, None, "5")]
+    assert sorted(tuple(r) for r in nested.nodes(t).collect()) == [(1, "box_score/0", ""), (1, "grid/0/0", ""), (1, "grid/1/0", ""), (1, "mixed/0", ""), (1, "mixed/4/0", "")]
+
+
+def test_nested_root_arrays(spark):
+    df = spark.createDataFrame([(1, '[{"a": 1}, 2, [{"a": 3}]]', 1), (2, '{"a": 4}', 1)], "id long, reference_content string, created_at long")
+    t = nested.flatten(df)
+    assert {(r["node_path"], r["element"], r["a"]) for r in t["[]"].collect()} == {("0", None, "1"), ("1", "2", None), ("2", None, None)}
+    assert sorted(tuple(r) for r in nested.nodes(t).collect()) == [(1, "0", ""), (1, "2/0", "")]
+
+
 def test_nested_empty(spark):
     tables = nested.flatten(spark.createDataFrame([], "id long, reference_content string, created_at long"))
     assert nested.nodes(tables).count() == 0
