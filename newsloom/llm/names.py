@@ -260,7 +260,9 @@ def trie_join(keys: DataFrame, most: int = 20_000) -> DataFrame:
     own = F.when(F.col("stored"), F.array(F.pmod(F.xxhash64("form"), F.col("blocks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     cut = marked.where("blocks is not null").withColumn("block", F.explode(own)).select(F.concat_ws("#", "block", "shard").alias("shard"), "form", "key", "stored")
     placed = marked.where("blocks is null").select("shard", "form", "key", "stored").unionByName(cut)
-    return placed.repartition("shard").sortWithinPartitions("shard").mapInPandas(_in_shards, "a string, b string").distinct()
+    # as many tasks as the session shuffles with: the work goes by the tries, not by the few bytes of the rows
+    tasks = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartition(tasks, "shard").sortWithinPartitions("shard").mapInPandas(_in_shards, "a string, b string").distinct()
 
 
 def _parsed(frames):

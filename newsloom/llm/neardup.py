@@ -188,7 +188,7 @@ def near_duplicates(
                         a.append(x)
                         b.append(y)
             a, b = (np.concatenate(x) if x else np.empty(0, _SIGNED) for x in (a, b))
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)  # a class delivered again may meet itself
             return pa.record_batch([pa.array(pairs[0].copy()), pa.array(pairs[1].copy())], ["a", "b"])
 
         for batch in batches:

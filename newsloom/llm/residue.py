@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re._constants as sre
+import re._parser as sre_parser
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,11 +13,11 @@ from newsloom.llm.lines import distinct_support, line_key
 
 # The forms of evidence. All patterns are tried on single lines.
 TEMPLATE_MARKS = [
-    r"\{\{[^{}]{0,80}\}\}", r"\{%[^{}]{0,80}%\}", r"[$#]\{[^{}]{0,80}\}", r"\{[A-Za-z_][\w.]{0,40}\}",
-    r"<%[^<>]{0,80}%>", r"<!--\s*(?:TODO|FIXME|TBD|insert)\b", r"%%[A-Z_]{2,40}%%", r"%[A-Z_]{3,40}%",
-    r"%\([\w.]{1,40}\)[sd]", r"@@[\w.]{2,40}@@", r"__[A-Z][A-Z_]{1,40}__", r"\[\[[\w. ]{1,40}\]\]",
-    r"\[(?:INSERT|ADD|ENTER|YOUR|YOUR OWN)\b[A-Z _]{0,60}\]", r"\[[A-Z][A-Z _]{0,60} TK\]", r"&lt;[A-Za-z_.]{2,40}&gt;",
-    r"\[object Object\]",
+    r"\{\{[^{}]*\}\}", r"\{%[^{}]*%\}", r"[$#]\{[^{}]*\}", r"\{[A-Za-z_][\w.]*\}",
+    r"<%[^<>]*%>", r"<!--\s*(?:TODO|FIXME|TBD|insert)\b", r"%%[A-Z_]{2,}%%", r"%[A-Z_]{3,}%",
+    r"%\([\w.]+\)[sd]", r"@@[\w.]{2,}@@", r"__[A-Z][A-Z_]+__", r"\[\[[\w. ]+\]\]",
+    r"\[(?:INSERT|ADD|ENTER|YOUR|YOUR OWN)\b[A-Z _]*\]", r"\[[A-Z][A-Z _]* TK\]", r"&lt;[A-Za-z_.]{2,}&gt;",
+    r"\[object Object\]", r"^\W*\[(?i:headline|title|subtitle|byline|author|name|date|city|location|summary|body|content|text|image|caption|quote|source|link|url|placeholder)(?: here| goes here)?\]\W*$",
 ]
 FILLER_WORDS = (
     "adipiscing aliqua aliquam amet ante arcu augue consectetur consequat cras curabitur dapibus dictum dolor dolore donec"
@@ -42,6 +44,9 @@ ERROR_FORMS = [
     r"\berror establishing a database connection", r"\bfatal error: uncaught", r"\bsomething went wrong while\b",
     r"\btoo many requests\b", r"\baddress has been rate limited\b", r"\byour session (?:for \S+ )?has expired\b",
     r"\bnot available in your (?:region|country)\b", r"\bchecking your browser before\b", r"\bwhile we verify your browser\b",
+    r"^\W*o+ps\b.*\b(?:went wrong|error|not found|problem)\b", r"^\W*something went wrong\W*(?:$|(?:please )?(?:try|reload|refresh)\b)",
+    r"\b(?:page|url|address|document) (?:that )?you (?:requested|are looking for|were looking for|tried to (?:reach|open)) (?:does not|doesn(?:'|’)t|no longer) exists?\b",
+    r"\bthis page (?:does not exist|doesn(?:'|’)t exist|no longer exists|is (?:no longer|not) available|isn(?:'|’)t available)\b", r"\bthis site can(?:'|’|no)t be reached\b",
     r"\bverify (?:that )?you are (?:a )?human\b", r"^\W*just a moment\W*$", r"\bdown for maintenance\b", r"^\W*please wait\W*(?:$|while\b)",
 ]
 SCRIPT_DEMANDS = [
@@ -50,20 +55,56 @@ SCRIPT_DEMANDS = [
     r"\bcookies are (?:disabled|required)\b", r"\baktivieren sie (?:javascript|cookies)\b", r"\bactiver (?:javascript|les cookies)\b",
     r"\bactiv[ae]r? (?:javascript|las cookies)\b", r"\bbrowser is not supported\b", r"\bunsupported browser\b",
 ]
-#: Cheap literals, one of which any line holds that shows an error, a demand for scripts or a stand-in; they spare most
-#: lines the patterns. A bare status code holds none of them and has a pattern of its own: the code, its word, then the
-#: end or a quotation (which is taken out before the patterns are tried).
-_PHRASE_HINTS = (
-    "goes here|test test|dummy |layout only|this is |placeholder|not found|could not be|looking for|denied|permission"
-    "|forbidden|unavailable|server error|gateway|database connection|fatal error|went wrong|too many|rate limited|has expired"
-    "|available in your|your browser|verify |moment|maintenance|please wait|script|cookies|browser"
-).split("|")
-_CODE_HINT = r"""(?i)\b(?:40|50)\d\b\W*(?:error|forbidden|not found|bad request)?\W*(?:["“]|$)"""
+#: A line that reads as text: five words or more and the end of a sentence.
+SENTENCE = r"""(?s)^(?:\S+\s+){4,}\S+.*[.!?]["'”’)]*\s*$"""
 _MARK_HINT = r"[{}%@_\[\]]|<[!%]|&lt;"
-#: A short quotation: what it holds is reported, not shown.
+#: A quotation: what it holds is reported, not shown.
 _QUOTED = r"""["“][^"“”]{1,60}["”](?= |,|\.|$)"""
 
 
+def needed(pattern: str) -> set[str] | None:
+    """Literals, in lower case, one of which every match of ``pattern`` holds; None if there is no such set."""
+
+    def of(items) -> set[str] | None:
+        found: list[set[str]] = []
+        run = ""
+        for op, arg in [*items, (None, None)]:
+            if op is sre.LITERAL:
+                run += chr(arg).lower()
+                continue
+            if run:
+                found.append({run})
+                run = ""
+            inner: list | None = None
+            if op is sre.SUBPATTERN:
+                inner = [arg[3]]
+            elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] > 0:
+                inner = [arg[2]]
+            elif op is sre.BRANCH:
+                inner = arg[1]
+            if inner:
+                sets = [of(x) for x in inner]
+                if all(sets):
+                    found.append(set().union(*sets))
+        return max(found, key=lambda x: min(map(len, x)), default=None)
+
+    return of(sre_parser.parse(pattern))
+
+
+def hints(patterns: list[str], least: int = 4) -> tuple[list[str], list[str]]:
+    """(literals, patterns without): every match of the other patterns holds one of the literals, none of which is shorter than ``least``.
+
+    The literals come from the patterns themselves, so no line that a pattern matches is skipped.
+    """
+    sets = {p: needed(p) for p in patterns}
+    guarded = {p: x for p, x in sets.items() if x and min(map(len, x)) >= least}
+    every = set().union(*guarded.values())
+    return sorted(x for x in every if not any(y != x and y in x for y in every)), [p for p in patterns if p not in guarded]
+
+
+_LITERALS, _UNGUARDED = hints(SCRIPT_DEMANDS + ERROR_FORMS + STAND_INS)
+
+
 def _any(patterns: list[str]) -> str:
     return "(?i)(?:" + "|".join(patterns) + ")"
 
@@ -78,22 +119,22 @@ def _by_initial(words: list[str]) -> str:
 
 
 def _hinted(line: Column) -> Column:
-    """Whether a line can match SCRIPT_DEMANDS, ERROR_FORMS or STAND_INS at all."""
-    return _contains_any(F.lower(line), _PHRASE_HINTS) | line.rlike(_CODE_HINT)
+    """Whether a line, quotations taken out, can match SCRIPT_DEMANDS, ERROR_FORMS or STAND_INS at all."""
+    held = F.get(F.transform(F.array(F.lower(line)), lambda low: _contains_any(low, _LITERALS)), F.lit(0))
+    return held | line.rlike(_any(_UNGUARDED))
 
 
 def evidence(line: Column) -> Column:
     """'template', 'filler', 'error' or 'script' for a line that shows it, else null."""
     filler = r"(?i)(?:(?<![\w])(?:" + _by_initial(FILLER_WORDS) + r")(?![\w])[\s,.;:]*){4}"
-    bare = F.regexp_replace(line, _QUOTED, " ")
-    return (
-        F.when(line.rlike(_MARK_HINT) & line.rlike("|".join(TEMPLATE_MARKS)), "template")
-        .when(line.rlike(filler), "filler")
-        .when(
-            _hinted(line),
-            F.when(bare.rlike(_any(SCRIPT_DEMANDS)), "script").when(bare.rlike(_any(ERROR_FORMS)), "error").when(bare.rlike(_any(STAND_INS)), "filler"),
-        )
-    )
+    bare = F.when(line.contains('"') | line.contains("“"), F.regexp_replace(line, _QUOTED, " ")).otherwise(line)
+
+    def phrases(x: Column) -> Column:
+        return F.when(_hinted(x), F.when(x.rlike(_any(SCRIPT_DEMANDS)), "script").when(x.rlike(_any(ERROR_FORMS)), "error").when(x.rlike(_any(STAND_INS)), "filler"))
+
+    # a lambda's variable is computed once, however often it is named
+    by_phrase = F.get(F.transform(F.array(bare), phrases), F.lit(0))
+    return F.when(line.rlike(_MARK_HINT) & line.rlike("|".join(TEMPLATE_MARKS)), "template").when(line.rlike(filler), "filler").otherwise(by_phrase)
 
 
 def values_of(df: DataFrame, id_col: str, fields: list[str], *keep: Column) -> DataFrame:
@@ -113,9 +154,9 @@ def residue(
     """(id_col, field_name, evidence), one row per affected value.
 
     Normalised lines are counted by host over all values; lines that at least ``min_support`` articles of the host share
-    are recurrent and leave the value, but for those that show a template mark or filler (a broken template recurs by
-    nature); a value made of recurrent lines alone keeps them. A value is affected if a line
-    of what remains shows a template mark never filled in, filler, an error, block or waiting page, or a demand for
+    are recurrent: boilerplate, which leaves the value, if what remains holds a sentence of its own. Where nothing but
+    recurrent lines, ids and the like remain the value is such a page itself and keeps them. Lines with a template mark or
+    filler stay in any case (a broken template recurs by nature). A value is affected if a line of what remains shows a template mark never filled in, filler, an error, block or waiting page, or a demand for
     scripts or cookies; several kinds give the first in this order: template, filler, error, script. Messages in short
     quotation marks are reported speech and don't count, template marks do.
 
@@ -134,12 +175,12 @@ def residue(
         .where("evidence is not null")
         .select(
             "id", "host", "field_name", "evidence", F.xxhash64(line_key(F.col("line"))).alias("key"),
-            F.transform("lines", lambda x: F.xxhash64(line_key(x))).alias("keys"),
+            F.transform("lines", lambda x: F.struct(F.xxhash64(line_key(x)).alias("key"), x.rlike(SENTENCE).alias("sentence"))).alias("keys"),
         )
     )
-    # of each line of a value with evidence: is it recurrent? At least one line that isn't, and not the evident one, makes the residual
+    # of each line of a value with evidence: is it recurrent? A sentence that isn't, and not the evident line, makes the rest boilerplate
     parts = (
-        shown.select("id", "host", "field_name", "evidence", F.col("key").alias("evident"), F.explode("keys").alias("key"))
+        shown.select("id", "host", "field_name", "evidence", F.col("key").alias("evident"), F.inline("keys"))
         .distinct()
         .join(support, ["host", "key"], "left")
         .withColumn("recurrent", F.col("support").isNotNull())
@@ -149,9 +190,9 @@ def residue(
         parts.groupBy("id", "field_name")
         .agg(
             F.bool_or((F.col("key") == F.col("evident")) & (~F.col("recurrent") | F.col("evidence").isin("template", "filler"))).alias("remains"),
-            F.bool_and("recurrent").alias("all_recurrent"),
+            F.bool_or(F.col("sentence") & ~F.col("recurrent") & (F.col("key") != F.col("evident"))).alias("own_text"),
             F.min_by("evidence", rank).alias("evidence"),
         )
-        .where("remains or all_recurrent")
+        .where("remains or not own_text")
         .select(F.col("id").alias(id_col), "field_name", "evidence")
     )

@@ -59,7 +59,8 @@ def test_crowded_buckets_keep_all_pairs(spark, deepest):
         texts[i] = " ".join(w)
     notice = " ".join(f"n{i}" for i in range(60))
     texts |= {200 + i: " ".join(f"u{i}x{j}" for j in range(60)) + " " + notice for i in range(60)}
-    found = neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "id long, content string"), bucket=8, deepest=deepest)
+    again = [(i, texts[i]) for i in range(0, 210, 5) if i in texts]
+    found = neardup.near_duplicates(spark.createDataFrame(list(texts.items()) + again, "id long, content string"), bucket=8, deepest=deepest)
     s = {i: word_runs(t) for i, t in texts.items()}
     expected = {(i, j) for i, j in itertools.combinations(s, 2) if len(s[i] & s[j]) >= 0.7 * len(s[i] | s[j])}
     got = {(r["a"], r["b"]) for r in neardup.linked_pairs(found).collect()}
