@@ -138,7 +138,7 @@ def truncation(df: DataFrame, id_col: str = "id", source_col: str = "source_id",
            complete without a full stop, end openly as a rule. Both sides of this comparison grow with the data.
     An unmarked last line that at least ``min_recurrent`` distinct texts of its source share is no cut: a notice ends
     them, at a limit by chance too, while copies of one text count once. A mark is evidence by itself. Messages and filler
-    (problem 1) are no cuts unless by (b). Copies count once where sizes vote for limits and where open lines are weighed.
+    (problem 1) are no cuts. Copies count once where sizes vote for limits and where open lines are weighed.
     Null and blank values are complete; null ids and sources are left out; rows delivered again count once.
     """
     source = df[source_col].alias("source")
@@ -178,14 +178,14 @@ def truncation(df: DataFrame, id_col: str = "id", source_col: str = "source_id",
     inspected = materialize(
         opened.join(closing.select("opening", F.lit(True).alias("usual")), "opening", "left")
         .withColumn("ends_open", (news & (F.col("marked") | (F.col("follows") & own))) | ((news | (F.col("evidence") == "template")) & (F.col("marked") | (usual & own))))
-        .select("source", "id", "field_name", "text", "sizes", "recurs", "ends_open"),
+        .select("source", "id", "field_name", "text", "sizes", "recurs", (news | (F.col("evidence") == "template")).alias("text_proper"), "ends_open"),
         "open-endings",
     )
     at = ["source", "field_name", "measure", "size"]
     by_ending = inspected.where("ends_open").dropDuplicates(["source", "field_name", "text"]).select("source", "field_name", F.inline("sizes")).join(piles.select(*at), at).groupBy(*at).agg(F.count("*").alias("cut"))
     limits = materialize(piles.join(by_ending, at, "left").withColumn("cut", F.coalesce("cut", F.lit(0))), "limits")
     hit = (
-        inspected.where("not ends_open and not recurs")
+        inspected.where("not ends_open and not recurs and text_proper")
         .select("source", "id", "field_name", F.inline("sizes"))
         .withColumnRenamed("size", "exact")
         .withColumn("size", F.explode(F.sequence(F.col("exact"), F.col("exact") + 2)))
