@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import parsing, scoring
 from newsloom.operators import pools
+from newsloom.runtime import materialize
 
 Ask = Callable[[DataFrame], DataFrame]
 
@@ -117,10 +118,10 @@ def tiered(nuggets: DataFrame, ask: Ask, target: int = 15, chunk: int = 200) ->
     placed = in_chunks(nuggets.drop("tier"), "pool_id", by_sources, chunk)
     asked = ask(block(placed, ["pool_id", "chunk"], fact_line()).withColumnRenamed("block", "prompt"))
     answers = asked.select("pool_id", "chunk", F.posexplode(parsing.tiers(F.col("answer"), F.col("n"))).alias("i", "tier")).withColumn("at", F.col("i") + 1).drop("i")
-    first = placed.join(answers, ["pool_id", "chunk", "at"])
+    first = materialize(placed.join(answers, ["pool_id", "chunk", "at"]), "tiers")  # a model is asked once
     crowded = first.groupBy("pool_id").agg(F.max("chunk").alias("last"), F.count_if(F.col("tier") == 1).alias("n1")).where((F.col("last") > 0) & (F.col("n1") > int(1.5 * target))).select("pool_id")
     candidates = in_chunks(first.where("tier = 1").join(crowded, "pool_id").select("pool_id", "id", "fact", "source_count"), "pool_id", by_sources, 2**31 - 1)
-    chosen = ask(block(candidates, ["pool_id", "chunk"], fact_line()).withColumnRenamed("block", "prompt"))
+    chosen = materialize(ask(block(candidates, ["pool_id", "chunk"], fact_line()).withColumnRenamed("block", "prompt")), "selections")
     picks = chosen.select("pool_id", "answer", F.when(F.col("answer").isNotNull(), parsing.selected(F.col("answer"), F.col("n"))).alias("picked"))
     stays = F.when(F.col("answer").isNull(), F.col("at") <= target).otherwise(F.array_contains("picked", F.col("at")))
     fallen = candidates.join(picks, "pool_id").where(~stays).select("pool_id", "id", F.lit(True).alias("fallen"))
@@ -132,13 +133,13 @@ def themed(nuggets: DataFrame, ask: Ask) -> DataFrame:
     """Nuggets with theme and theme_order, from one call a pool over its facts by tier, sources and id."""
     order = [F.asc_nulls_last("tier"), F.desc("source_count"), F.asc("id")]
     placed = in_chunks(nuggets, "pool_id", order, 2**31 - 1)
-    answers = ask(block(placed, ["pool_id", "chunk"], fact_line()).withColumnRenamed("block", "prompt")).select("pool_id", "answer")
+    answers = materialize(ask(block(placed, ["pool_id", "chunk"], fact_line()).withColumnRenamed("block", "prompt")).select("pool_id", "answer"), "themes")
     return pools.themed(placed.withColumn("position", F.col("at").cast("long")).drop("chunk", "at"), answers)
 
 
 def post_processed(nuggets: DataFrame, members: DataFrame, merge: Ask, tier: Ask, theme: Ask, target: int = 15) -> tuple[DataFrame, DataFrame]:
     """(nuggets, counters): merge, then tiers, then themes; counters are (pool_id, merged, tier1, tier2, tier3, themes)."""
-    done = themed(tiered(merged(nuggets, members, merge), tier, target), theme)
+    done = materialize(themed(tiered(materialize(merged(nuggets, members, merge), "merged"), tier, target), theme), "post-processed")
     of = lambda n: F.count_if(F.col("tier") == n).alias(f"tier{n}")
     named = F.count_distinct(F.when(F.col("theme") != "", F.col("theme")))
     return done, done.groupBy("pool_id").agg(F.count_if("was_merged").alias("merged"), of(1), of(2), of(3), named.alias("themes"))

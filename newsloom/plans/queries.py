@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.plans import articles, facts, nested, pools, postprocess, scores, streams, topics
+from newsloom.plans import articles, facts, nested, pools, postprocess, scores, sources, streams, topics
 
-_MODULES = (nested, topics, articles, scores, facts, streams, pools, postprocess)
+_MODULES = (nested, topics, articles, scores, facts, streams, pools, postprocess, sources)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

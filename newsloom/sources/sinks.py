@@ -51,3 +51,12 @@ def first_image(candidates: DataFrame, ok: str = "ok") -> DataFrame:
 
     five = top_per_group(candidates, ["topic_id"], [F.asc_nulls_last("published_at"), F.asc("id")], 5)
     return five.groupBy("topic_id").agg(F.coalesce(F.min_by(F.when(F.col(ok), F.col("image_url")), F.when(F.col(ok), F.col("rank"))), F.lit("")).alias("image_url"))
+
+
+def load_counts(rows: DataFrame, created: DataFrame, keys: list[str], facts: DataFrame | None = None) -> DataFrame:
+    """One row: documents given (by ``keys``), created and skipped, and the facts extracted of created ones if ``facts`` (with the keys) are there."""
+    given = rows.select(*keys).distinct().join(created.select(*keys, F.lit(1).alias("_new")), keys, "left")
+    counts = given.agg(F.count("*").alias("given"), F.count("_new").alias("created"), F.count_if(F.col("_new").isNull()).alias("skipped"))
+    if facts is None:
+        return counts
+    return counts.withColumn("facts", F.lit(facts.join(created.select(*keys), keys, "left_semi").count()))
