@@ -6,10 +6,12 @@ of prompts to a list of answers. Nothing here opens a connection.
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,8 @@ _loaded: dict[object, Model] = {}
 
 
 def _once(factory: Callable[[], Model]) -> Model:
-    key = (getattr(factory, "__module__", ""), getattr(factory, "__qualname__", repr(factory)))
+    """The model of a factory, made once a worker; factories are one if they pickle alike, whatever their names."""
+    key = hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
     if key not in _loaded:
         _loaded[key] = factory()
     return _loaded[key]
@@ -56,6 +59,39 @@ def ask(df: DataFrame, prompt: str, factory: Callable[[], Model], answer: str =
     return df.select(*names).mapInPandas(run, f"{schema}, `{answer}` string, `{error}` string")
 
 
+#: Models by name; ``register`` adds one, ``model`` gives its factory.
+MODELS: dict[str, Callable[[], Model]] = {}
+
+
+def register(name: str, factory: Callable[[], Model]) -> None:
+    MODELS[name] = factory
+
+
+def model(name: str) -> Callable[[], Model]:
+    if name not in MODELS:
+        raise ValueError(f"no model {name!r}; there are: {', '.join(sorted(MODELS)) or 'none'}")
+    return MODELS[name]
+
+
+def available(factory: Callable[[], Model], probe: str = "ping") -> bool:
+    """Whether a model can be made and answers a prompt."""
+    try:
+        return len(_once(factory)([probe])) == 1
+    except Exception:  # noqa: BLE001 - whatever is wrong, it isn't available
+        return False
+
+
+def flattened(messages: Column) -> Column:
+    """A chat, an array of structs role and content, as one prompt: system texts as they are, others after their role, the turn of the assistant last."""
+    lines = F.transform(F.filter(messages, lambda m: F.coalesce(m["content"], F.lit("")) != ""), lambda m: F.when(m["role"] == "system", m["content"]).otherwise(F.concat(F.initcap(m["role"]), F.lit(": "), m["content"])))
+    return F.concat(F.array_join(lines, "\n\n"), F.lit("\n\nAssistant:"))
+
+
+def run_report(asked: DataFrame, *by: str, error: str = "error") -> DataFrame:
+    """(by..., asked, answered, failed) of rows that ``ask`` returned."""
+    return asked.groupBy(*by).agg(F.count("*").alias("asked"), F.count("answer").alias("answered"), F.count(error).alias("failed"))
+
+
 # References to numbered sources in an explanation.
 NUMBERED = r"(?i)\b(?:Members?|Sources?)\s+\d+(?:\s*(?:,|and)\s*\d+)*\b"
 

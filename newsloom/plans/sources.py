@@ -174,3 +174,19 @@ def source_references(spark: SparkSession, d: str) -> DataFrame:
     said = F.concat(F.lit("Source "), (c % 4).cast("string"), F.lit(" says so; "), second, F.lit(" deny it."))
     labels = F.element_at(F.array(*map(F.lit, ("support", "partial_support", "not_support", "other"))), (k % 4 + 1).cast("int"))
     return table(spark, d, "orders").select(k.alias("order_id"), inference.named_sources(said, F.array(*map(F.lit, ("n0", "n1", "n2")))).alias("explanation"), scoring.label_code(labels).alias("code"))
+
+
+@query(f"WITH {_EVENT} SELECT count(*) AS events, count(*) FILTER (id % 3 <> 0) AS new, count(*) FILTER (id % 3 = 0) AS skipped FROM r")
+def feed_import_counts(spark: SparkSession, d: str) -> DataFrame:
+    """A bulk import over a hundred days: events that are new and those stored already."""
+    known = table(spark, d, "topics").where("id % 3 = 0").select(F.concat(F.lit("e"), F.col("id").cast("string")).alias("event_registry_uri"))
+    return feed.import_counts(feed.recent_events(spark, _event_feed(spark, d), NOW, 2400, 2, None), known)
+
+
+@query(f"""WITH {DOC}, p AS (SELECT coalesce(lower(trim(split)), 'none') AS split, source_id, primary_text FROM doc)
+SELECT split, count(*) AS asked, count(*) FILTER (source_id <> 2) AS answered, count(*) FILTER (source_id = 2) AS failed FROM p GROUP BY 1""")
+def extraction_runs(spark: SparkSession, d: str) -> DataFrame:
+    """A model asked about all documents, with errors counted by split; here it fails on one source."""
+    rows = documents(spark, d, "split", "source_id").select(F.coalesce(F.lower(F.trim("split")), F.lit("none")).alias("split"), "source_id")
+    asked = rows.withColumns({"answer": F.when(F.col("source_id") != 2, "[]"), "error": F.when(F.col("source_id") == 2, "timed out")})
+    return inference.run_report(asked, "split")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import localized, names_joined, parsed_time, slugify, source_name, word_count
+from newsloom.operators.topics import suffixed_slugs
 
 EVENT = "uri string, title map<string,string>, summary map<string,string>, eventDate string, concepts array<struct<label:map<string,string>,type:string>>, totalArticleCount int"
 ARTICLE = (
@@ -37,6 +38,19 @@ def topics_of(events: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
+def import_counts(events: DataFrame, known: DataFrame) -> DataFrame:
+    """One row: events given, new ones and those skipped since their uri is in ``known`` (event_registry_uri)."""
+    marked = events.select("uri").distinct().join(known.select(F.col("event_registry_uri").alias("uri"), F.lit(1).alias("_known")).distinct(), "uri", "left")
+    return marked.agg(F.count("*").alias("events"), F.count_if(F.col("_known").isNull()).alias("new"), F.count("_known").alias("skipped"))
+
+
+def topics_with_articles(events: DataFrame, articles: DataFrame, known: DataFrame, least: int = 1) -> DataFrame:
+    """New topics of events that have ``least`` articles at least (event_uri), with slugs that neither each other nor ``known`` (event_registry_uri, slug) has."""
+    counts = articles.groupBy(F.col("event_uri").alias("event_registry_uri")).agg(F.count_distinct("event_registry_uri").alias("articles"))
+    fresh = topics_of(events, known).join(counts.where(F.col("articles") >= least), "event_registry_uri")
+    return suffixed_slugs(fresh, "slug_base", [F.asc("event_registry_uri")], taken=known.select("slug").where("slug is not null"))
+
+
 def event_articles(spark: SparkSession, path: str, sources: list[str] | None = None) -> DataFrame:
     """Articles of events; rows without uri, url, source or title go; ``sources`` filters by source uri at the reader.
 

@@ -75,6 +75,14 @@ def expired(topics: DataFrame, now: str, days: int = 30) -> DataFrame:
     return old_topics(topics, now, days)
 
 
+def reopened(topics: DataFrame, late: DataFrame, pools: DataFrame, least: int = 3) -> DataFrame:
+    """(topic_id, article_count, rebuild) of the topics a batch of ``late`` articles (topic_id, article_id) belongs to: their new counts, and whether the pool, built over ``pools.articles`` articles, is ``least`` or more behind. For foreachBatch."""
+    new = late.groupBy("topic_id").agg(F.count_distinct("article_id").alias("new"))
+    rows = topics.select(F.col("id").alias("topic_id"), F.col("article_count").alias("before")).join(new, "topic_id").join(pools.select("topic_id", F.col("articles").alias("built")), "topic_id", "left")
+    count = F.coalesce("before", F.lit(0)) + F.col("new")
+    return rows.select("topic_id", count.alias("article_count"), (F.col("built").isNotNull() & (count - F.col("built") >= least)).alias("rebuild"))
+
+
 def backfill(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows not processed yet, for periodic jobs."""
     return rows.join(done.select(key), key, "left_anti")
