@@ -111,13 +111,15 @@ def verified(pairs: DataFrame, verdict: str = "verdict", a: str = "fact_a", b: s
 def judged(articles: DataFrame, nuggets: DataFrame, full: float = 0.9, part: float = 0.5) -> DataFrame:
     """(pool_id, article_id, nugget_id, label, vital): the stand-in judge goes by the share of a fact's words in the article.
 
-    A pool's facts are gathered once - they are its consensus facts, few by construction - and each article is read once.
+    A pool's facts are gathered once, each article is read once; words are compared as hashes.
     """
-    lists = nuggets.groupBy("pool_id").agg(F.collect_list(F.struct("id", (F.col("importance") == "vital").alias("vital"), F.array_distinct(tokens(F.col("fact"))).alias("words"))).alias("facts"))
-    rows = articles.join(lists, "pool_id").select("pool_id", "article_id", F.array_distinct(tokens(F.col("content"))).alias("own"), F.explode("facts").alias("f"))
-    share = scoring.ratio(F.size(F.array_intersect("f.words", "own")), F.size("f.words"))
-    label = F.when(share >= full, "support").when(share >= part, "partial_support").otherwise("not_support")
-    return rows.select("pool_id", "article_id", F.col("f.id").alias("nugget_id"), label.alias("label"), F.col("f.vital").alias("vital"))
+    words = lambda c: F.array_distinct(F.transform(tokens(F.col(c)), lambda w: F.xxhash64(w)))  # noqa: E731 - hashes, so that sets of numbers are compared
+    lists = nuggets.groupBy("pool_id").agg(F.collect_list(F.struct("id", (F.col("importance") == "vital").alias("vital"), words("fact").alias("words"))).alias("facts"))
+    rows = articles.select("pool_id", "article_id", words("content").alias("own")).join(lists, "pool_id")
+    share = F.transform("facts", lambda f: F.struct(f["id"].alias("id"), f["vital"].alias("vital"), scoring.ratio(F.size(F.array_intersect(f["words"], F.col("own"))), F.size(f["words"])).alias("share")))
+    each = rows.select("pool_id", "article_id", F.explode(share).alias("f"))
+    label = F.when(F.col("f.share") >= full, "support").when(F.col("f.share") >= part, "partial_support").otherwise("not_support")
+    return each.select("pool_id", "article_id", F.col("f.id").alias("nugget_id"), label.alias("label"), F.col("f.vital").alias("vital"))
 
 
 def numbered_prompt(facts: DataFrame, order: list[str], text: str, head: str) -> DataFrame:

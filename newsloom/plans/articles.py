@@ -35,6 +35,15 @@ def wire_byline(spark: SparkSession, d: str) -> DataFrame:
     return w.select(F.col("id").alias("article_id"), text.is_wire_copy(F.col("author"), F.col("source_host")).alias("wire_copy"), text.wire_service(F.col("author")).alias("service"))
 
 
+@query(f"""WITH {ART}, w AS (SELECT id, author, regexp_extract(url, 'https?://([^/]+)', 1) AS host FROM art)
+SELECT id AS article_id, coalesce(regexp_matches(author, '{_RE}'), false) AND lower(host) NOT IN ({_HOSTS}) AS wire_copy, lower(nullif(regexp_extract(author, '{_RE}'), '')) AS service FROM w""")
+def stored_wire_bylines(spark: SparkSession, d: str) -> DataFrame:
+    """By-lines as they are stored, none put on."""
+    a = articles(spark, d, "author", "url")
+    host = F.regexp_extract("url", "https?://([^/]+)", 1)
+    return a.select(F.col("id").alias("article_id"), text.is_wire_copy(F.col("author"), host).alias("wire_copy"), text.wire_service(F.col("author")).alias("service"))
+
+
 _SETS = f"""{ART}, {CLU}, w AS (SELECT art.*, {_AUTHOR.replace('author', 'art.author')} AS byline, {_HOST} AS host, topic_id FROM art JOIN clu ON article_id = id WHERE content <> ''),
 t AS (SELECT topic_id, id, regexp_extract_all(lower(content), '[a-z0-9'']+') AS t FROM w),
 s AS (SELECT topic_id, id, list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' '))) AS s FROM t WHERE len(t) >= 5),

@@ -24,6 +24,6 @@ def test_late_sentences_reach_the_scores(spark, monkeypatch):
     monkeypatch.setattr(plans, "articles", lambda s, d, *c: arts.select("id", *c))
     monkeypatch.setattr(plans, "clusters", lambda s, d: spark.createDataFrame([(7, 1), (7, 2)], "topic_id long, article_id long"))
     rows = plans.consensus_pools(spark, "").collect()
-    # the one fact two sources share is the fifth sentence of both
+    # eight facts of one source each and the fifth sentence of both, the one vital fact; facts of one source count, too
     assert sorted(r["article_id"] for r in rows) == [1, 2]
-    assert all(r["total"] == 1 and r["support"] == 1 for r in rows), rows
+    assert all((r["total"], r["support"], r["not_support"], r["vital_total"], r["vital_support"]) == (9, 5, 4, 1, 1) for r in rows), rows
