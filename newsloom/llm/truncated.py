@@ -7,7 +7,7 @@ from collections import Counter
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,13 +105,13 @@ def hidden_limits(texts: DataFrame, min_values: int = 5, factor: float = 2.0, de
     bar follows the counts. What is grouped is bounded by the lengths texts can have, not by their number.
     """
     at = ["source", "field_name", "measure", "size"]
-    sizes = materialize(texts.select("source", "field_name", F.inline("sizes")).groupBy(*at).agg(F.count("*").alias("n")), "sizes")
-    high = sizes.where(F.col("n") >= min_values).withColumnRenamed("n", "values")
-    steps = F.array(*[F.lit(i) for i in range(-10, 11) if abs(i) > 1])
-    near = high.select("source", "field_name", "measure", F.col("size").alias("centre"), F.explode(F.transform(steps, lambda i: F.col("size") + i)).alias("size"))
-    around = near.join(sizes, at).groupBy("source", "field_name", "measure", F.col("centre").alias("size")).agg((F.sum("n") / 18).alias("around"))
-    usual = F.coalesce("around", F.lit(0.0))
-    spikes = high.join(around, at, "left").where((F.col("values") >= factor * usual) & (F.col("values") >= usual + deviations * F.sqrt(usual + 1) - deviations))
+    sizes = texts.select("source", "field_name", F.inline("sizes")).groupBy(*at).agg(F.count("*").alias("values"))
+    by_size = Window.partitionBy("source", "field_name", "measure").orderBy("size")
+    within = lambda i: F.sum("values").over(by_size.rangeBetween(-i, i))
+    # no join: Spark would size a broadcast by the compressed file, a small part of what its rows take on the driver
+    around = sizes.withColumn("usual", (within(10) - within(1)) / 18)
+    usual = F.col("usual")
+    spikes = around.where((F.col("values") >= min_values) & (F.col("values") >= factor * usual) & (F.col("values") >= usual + deviations * F.sqrt(usual + 1) - deviations))
     return spikes.select(*at, "values")
 
 
@@ -182,14 +182,14 @@ def truncation(df: DataFrame, id_col: str = "id", source_col: str = "source_id",
         "open-endings",
     )
     at = ["source", "field_name", "measure", "size"]
-    by_ending = inspected.where("ends_open").dropDuplicates(["source", "field_name", "text"]).select("source", "field_name", F.inline("sizes")).join(piles.select(*at), at).groupBy(*at).agg(F.count("*").alias("cut"))
+    by_ending = inspected.where("ends_open").dropDuplicates(["source", "field_name", "text"]).select("source", "field_name", F.inline("sizes")).join(piles.select(*at).hint("merge"), at).groupBy(*at).agg(F.count("*").alias("cut"))
     limits = materialize(piles.join(by_ending, at, "left").withColumn("cut", F.coalesce("cut", F.lit(0))), "limits")
     hit = (
         inspected.where("not ends_open and not recurs and text_proper")
         .select("source", "id", "field_name", F.inline("sizes"))
         .withColumnRenamed("size", "exact")
         .withColumn("size", F.explode(F.sequence(F.col("exact"), F.col("exact") + 2)))
-        .join(limits.where("2 * cut >= values"), at, "left_semi")
+        .join(limits.where("2 * cut >= values").select(*at).hint("merge"), at, "left_semi")
         .select("id", "field_name")
     )
     found = inspected.where("ends_open").select("id", "field_name").unionByName(hit).distinct().withColumnRenamed("id", id_col)

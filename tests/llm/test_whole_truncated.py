@@ -1,6 +1,7 @@
 """Cut values that many articles of a source carry are found, on tables of any size."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from newsloom.llm import truncated
 
@@ -56,3 +57,23 @@ def test_a_limit_whose_cuts_end_in_a_full_stop(spark):
 def test_texts_of_all_lengths_make_no_limit(spark, times):
     rows = [(i * 1000 + j, 1, f"{WORDS[j % 40]} {j} {'a' * (40 + i)}.", None) for i in range(40) for j in range(6 * times)]
     assert truncated.truncation(spark.createDataFrame(rows, SCHEMA)).limits.count() == 0
+
+
+def test_nothing_that_grows_with_lengths_or_sources_is_broadcast(spark):
+    data = [(i, 1, f"The {w.ljust(7, 'x')} road was closed on Monday and the mayor opened the pool on Friday, when all of the people came along"[:80], None) for i, w in enumerate(WORDS[:20])]
+    df = spark.createDataFrame(data, SCHEMA)
+    texts = df.select(F.col("source_id").alias("source"), F.lit("content").alias("field_name"), truncated.measures(F.col("content")).alias("sizes"))
+    assert "Join" not in truncated.hidden_limits(texts)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in truncated.truncation(df).found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_limits_against_counting(spark):
+    counts = {100: 12, 101: 3, 102: 3, 110: 4, 111: 50, 200: 5, 201: 40, 203: 9, 300: 4, 400: 5}
+    sizes = [(1, "content", [("characters", n)]) for n, times in counts.items() for _ in range(times)]
+    got = truncated.hidden_limits(spark.createDataFrame(sizes, "source long, field_name string, sizes array<struct<measure: string, size: int>>"))
+    want = set()
+    for n, times in counts.items():
+        usual = sum(counts.get(n + i, 0) for i in range(-10, 11) if abs(i) > 1) / 18
+        if times >= 5 and times >= 2 * usual and times >= usual + 5 * (usual + 1) ** 0.5 - 5:
+            want.add((n, times))
+    assert {(r["size"], r["values"]) for r in got.collect()} == want
